@@ -39,6 +39,11 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << RULES[r] for r in rules)
 
 
+def once(value: Column) -> Column:
+    """The same value, from an expression that the optimizer neither copies into its users nor pushes filters through."""
+    return F.when(F.rand(0) >= 0, value)
+
+
 def _kept_chars(text: Column, drop: str) -> Column:
     return F.length(F.regexp_replace(text, drop, "")).cast("long")
 
@@ -46,12 +51,12 @@ def _kept_chars(text: Column, drop: str) -> Column:
 def measure(docs: DataFrame) -> DataFrame:
     """Adds the measurements, all JVM-side and inside one row: no shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.withColumn("__words", words_of(F.col("text")))
+    d = docs.withColumn("__words", once(words_of(F.col("text"))))
     d = d.withColumn("__lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANK}]")))
     n = F.size("__words")
     at = lambda i: F.get("__words", i)
     grams = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h"), i.alias("i"))))
-    d = d.withColumn("__grams", F.array_sort(F.coalesce(grams, F.array().cast("array<struct<h:bigint,i:int>>"))))
+    d = d.withColumn("__grams", once(F.array_sort(F.coalesce(grams, F.array().cast("array<struct<h:bigint,i:int>>")))))
     # Sorted by hash, a repeated window has an equal neighbour.
     near = lambda x, i: (F.get("__grams", i - 1)["h"] == x["h"]) | (F.get("__grams", i + 1)["h"] == x["h"])
     again = F.filter("__grams", lambda x, i: F.coalesce(near(x, i), F.lit(False)))
@@ -63,7 +68,7 @@ def measure(docs: DataFrame) -> DataFrame:
         lambda a: a["n"].cast("long"),
     )
     return d.withColumns({
-        "n_words": n.cast("long"),
+        "n_words": once(n.cast("long")),
         "word_chars": F.length(F.array_join("__words", "")).cast("long"),
         "n_symbols": _kept_chars(text, r"[^#*$%&|<>]+"),
         "n_lines": F.size("__lines").cast("long"),
@@ -94,7 +99,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     bits = F.lit(0).cast("long")
     for rule, failed in failures().items():
         bits = bits.bitwiseOR(F.when(failed, F.lit(1 << RULES[rule])).otherwise(F.lit(0)).cast("long"))
-    return measure(docs).withColumn("fail_bits", bits)
+    return measure(docs).withColumn("fail_bits", once(bits))
 
 
 def apply_policy(led: DataFrame, version: int = CURRENT, into: str = "kept") -> DataFrame:
