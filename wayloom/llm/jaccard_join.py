@@ -9,17 +9,16 @@ third point. Documents with equal shingle sets are one point. The join descends:
    other, each cut after its first q pivots, still share at least l of them). Points
    with fewer than l shared pivots are linked with nothing. The l - 1 most frequent
    of the shared pivots of a point are dropped: one shared pivot remains.
-2. *Inner pivots.* In each region one point becomes the pivot and its exact distance
-   to the others is taken; points within r are linked to it. The empty set is the
-   first pivot of all: it gives the window on set sizes. Two points whose distances
-   to the pivot differ by more than r are not linked and not compared.
-3. *Recursion.* A region whose points are not yet in one component goes on with the
-   points not yet used as pivots; several pivots of its smallest components are used
-   a round, and small regions compare what is left outright. Points that a chain of
-   links joins already need no link of their own.
-
-Only pairs of a pivot and a point of another component are ever made, so a group of
-near copies gives about one pair a document.
+2. *Families.* Points that such regions connect form a family; no link leaves one.
+3. *Inner pivots.* A family is split by pivots from among its points: each point has
+   its home in the Voronoi cell of its nearest pivot, and is copied to every cell whose
+   pivot is at most 2 r farther, which is as far as a link can reach. Cells are joined
+   the same way, down to cells that are compared outright by counting common shingles
+   over inverted lists. A cell that is hardly smaller than its parent is compared so too.
+4. Large families are split that way between tasks; where cells don't get smaller, into
+   pairs of blocks. The others are joined in memory, one by one.
+
+Only the links of a spanning forest leave a family, at most one a point.
 
 Defined results: null and empty texts are the empty set, linked with nothing; texts
 shorter than a shingle are one shingle; rows with equal sets, repeated rows too, are
@@ -42,8 +41,8 @@ from .components import components
 from .shingles import shingle_set
 
 NO_ID = -(2**63)
-#: Pivots that a large region uses in one round; regions up to the second size compare what is left outright.
-PIVOTS, SMALL = 16, 24
+#: Points that one task joins in memory, points a pivot of a larger family stands for, and points compared outright.
+BIG, CELL, LEAF = 4000, 1000, 256
 
 
 def reach(n: int, pct: int) -> tuple[int, int]:
@@ -85,34 +84,166 @@ def _sets(shingle: int):
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both sets -> sizes of intersection and union."""
-    for batch in batches:
-        both = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            at = np.searchsorted(s, t)
-            both.append(int((s[np.minimum(at, len(s) - 1)] == t).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64())], names=["a", "b", "both"])
+class Forest:
+    """Union-find that keeps the links which joined something."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self.root(x), self.root(y)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+            self.links.append((x, y))
+
+
+def compare_all(own: list[int], sets: list[np.ndarray], pct: int, forest: Forest) -> None:
+    """Links among the points, by counting common shingles over inverted lists."""
+    size = np.array([len(sets[x]) for x in own])
+    _, codes = np.unique(np.concatenate([sets[x] for x in own]), return_inverse=True)
+    points = np.repeat(np.arange(len(own)), size)
+    order = np.argsort(codes, kind="stable")
+    lists, ends = points[order], np.searchsorted(codes[order], np.arange(codes.max() + 2))
+    start = np.concatenate([[0], np.cumsum(size)])
+    for i in range(1, len(own)):
+        c = codes[start[i] : start[i + 1]]
+        lo, n = ends[c], ends[c + 1] - ends[c]
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(lists[at], minlength=len(own))[:i]
+        for k in np.flatnonzero(100 * both >= pct * (size[:i] + size[i] - both)).tolist():
+            forest.join(own[k], own[i])
+
+
+def distances(s: np.ndarray, pivots: list[np.ndarray]) -> np.ndarray:
+    both = np.array([int((p[np.minimum(np.searchsorted(p, s), len(p) - 1)] == s).sum()) for p in pivots])
+    return 1 - both / (np.array([len(p) for p in pivots]) + len(s) - both)
+
 
+def cells(d: np.ndarray, pct: int) -> np.ndarray:
+    """(points, pivots) distances -> which points each pivot's cell takes: its own and those a link can reach from it."""
+    return d <= d.min(1, keepdims=True) + 2 * (1 - pct / 100) + 1e-9
 
-def linked(both: str, na: str, nb: str, pct: int) -> str:
-    return f"100 * {both} >= {pct} * ({na} + {nb} - {both})"
+
+def join_points(own: list[int], sets: list[np.ndarray], pct: int, forest: Forest, depth: int = 0) -> None:
+    if len(own) > LEAF:
+        pivots = [sets[own[k * len(own) // 8]] for k in range(8)]
+        taken = cells(np.array([distances(sets[x], pivots) for x in own]), pct)
+        # A point is compared with all of a cell, so smaller cells pay off only while their squares sum to less.
+        if (taken.sum(0).astype(float) ** 2).sum() < 0.8 * len(own) ** 2:
+            for k in range(8):
+                join_points([x for x, t in zip(own, taken[:, k], strict=True) if t], sets, pct, forest, depth + 1)
+            return
+    if len(own) > 1:
+        compare_all(own, sets, pct, forest)
+
+
+def _families(pct: int):
+    """Points sorted by family -> links of a spanning forest of each."""
+
+    def flush(a: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        forest = Forest(len(a))
+        join_points(sorted(range(len(a)), key=lambda x: (len(sets[x]), a[x])), sets, pct, forest)
+        return pa.RecordBatch.from_arrays([pa.array([a[x] for x, _ in forest.links], pa.int64()), pa.array([a[y] for _, y in forest.links], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, a, sets = None, [], []
+        for batch in batches:
+            for f, x, s in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if f != last:
+                    if len(a) > 1:
+                        yield flush(a, sets)
+                    last, a, sets = f, [], []
+                a.append(x)
+                sets.append(np.frombuffer(s, np.uint64))
+        if len(a) > 1:
+            yield flush(a, sets)
+
+    return run
+
+
+def _split(pct: int):
+    """Blocks of a family's points, its pivots first -> the points with the cells (pivots) that take them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, names, pivots = None, [], []
+        for batch in batches:
+            out: list[tuple] = []
+            for f, block, point, a, s in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if (f, block) != last:
+                    last, names, pivots = (f, block), [], []
+                if not point:
+                    names.append(a)
+                    pivots.append(np.frombuffer(s, np.uint64))
+                elif pivots:
+                    d = distances(np.frombuffer(s, np.uint64), pivots)[None]
+                    out += [(f, names[k], a, s) for k in np.flatnonzero(cells(d, pct)[0])]
+                else:
+                    out.append((f, 0, a, s))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], names=["f", "p", "a", "s"])
+
+    return run
+
+
+def _sized(points: DataFrame) -> DataFrame:
+    return points.join(points.groupBy("f").agg(F.count("*").alias("m")), "f")
+
+
+def family_links(points: DataFrame, pct: int) -> DataFrame:
+    """(f, a, s): families of points with their sets -> links that span each component."""
+    spark = points.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small, todo, turn = [], points, 0
+    while True:
+        todo = materialize(_sized(todo))
+        small.append(todo.where(f"m <= {BIG}").select("f", "a", "s"))
+        large = todo.where(f"m > {BIG}")
+        if large.isEmpty():
+            break
+        turn += 1
+        blocks = F.ceil(F.col("m") / CELL).cast("long")
+        mark = F.pmod(F.xxhash64("a", F.lit(turn)), blocks * 1000)
+        pivots = large.where(mark % F.lit(CELL) == 0).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select("f", "block", F.lit(0).alias("point"), "a", "s")
+        own = large.select("f", F.pmod(F.xxhash64("a", F.lit(-turn)), blocks).alias("block"), F.lit(1).alias("point"), "a", "s")
+        dealt = pivots.union(own).repartition(parts, "f", "block").sortWithinPartitions("f", "block", "point", "a")
+        cut = materialize(dealt.mapInArrow(_split(pct), "f long, p long, a long, s binary"))
+        size = cut.groupBy("f", "p").agg(F.count("*").alias("n")).join(large.groupBy("f").agg(F.first("m").alias("m")), "f")
+        # Families whose cells stay large are cut into pairs of blocks instead; this ends.
+        slow = size.groupBy("f").agg(F.sum(F.col("n") * F.col("n")).alias("q"), F.first("m").alias("m")).where("q >= 0.8 * m * m").select("f")
+        halves = F.ceil(F.col("m") / (BIG // 2)).cast("int")
+        b = F.pmod(F.xxhash64("a", F.lit(0)), halves).cast("int")
+        other = F.explode(F.sequence(F.lit(0), halves - 1)).alias("o")
+        pairs = large.join(slow, "f", "left_semi").select("f", "a", "s", b.alias("b"), other)
+        pairs = pairs.select(F.xxhash64("f", F.least("b", "o"), F.greatest("b", "o"), F.lit("blocks")).alias("f"), "a", "s")
+        small.append(pairs)
+        todo = cut.join(slow, "f", "left_anti").select(F.xxhash64("f", "p").alias("f"), "a", "s")
+    every = small[0]
+    for x in small[1:]:
+        every = every.union(x)
+    dealt = every.repartition(parts, "f").sortWithinPartitions("f", "a")
+    return materialize(dealt.mapInArrow(_families(pct), "a long, b long"))
 
 
 def _regions(sketch: DataFrame) -> DataFrame:
-    """(h, a, n): the points of each outer region that has several."""
-    flat = sketch.where("n > 0").select("a", "n", "need", F.explode("pivots").alias("h"))
+    """(h, a): the points of each outer region that has several."""
+    flat = sketch.where("n > 0").select("a", "need", F.explode("pivots").alias("h"))
     shared = flat.groupBy("h").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("h", "m")
-    held = materialize(flat.join(shared, "h").groupBy("h", "a").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.first("m").alias("m")))
+    held = materialize(flat.join(shared, "h").groupBy("h", "a").agg(F.first("need").alias("need"), F.first("m").alias("m")))
     own = Window.partitionBy("a")
     cut = held.withColumns({"all": F.count("*").over(own), "k": F.row_number().over(own.orderBy("m", "h"))})
-    return materialize(cut.where("all >= need and k <= all - need + 1").select("h", "a", "n"))
+    cut = cut.where("all >= need and k <= all - need + 1").select("h", "a")
+    return materialize(cut.join(cut.groupBy("h").count().where("count > 1"), "h", "left_semi"))
 
 
 def join(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that links reach, itself included)."""
-    spark = docs.sparkSession
     d = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
     sketch = materialize(d.mapInArrow(_sketch(shingle, pct), "doc long, n long, a long, need long, pivots array<long>"))
     points = sketch.where("n > 0").groupBy("a").agg(F.min("doc").alias("doc"))
@@ -120,42 +251,10 @@ def join(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFrame:
     active = regions.select("a").distinct().join(points, "a")
     texts = d.join(active, "doc").join(sketch.select("doc", F.col("a").alias("a2")), "doc").where("a = a2").select("a", "text")
     sets = materialize(texts.dropDuplicates(["a"]).mapInArrow(_sets(shingle), "a long, s binary"))
-    links = spark.createDataFrame([], "a long, b long")
-    first, turn, labels = None, 0, None
-    left = regions.withColumn("c", F.col("a"))
-    while True:
-        # Pivots: in the first round the least point of each region, later points of its smallest components.
-        region = Window.partitionBy("h")
-        if turn == 0:
-            pivots = left.groupBy("h").agg(F.min("a").alias("p"))
-            pairs = left.join(pivots, "h").where("a != p")
-            pairs = pairs.join(left.select("h", F.col("a").alias("p"), F.col("n").alias("np")), ["h", "p"])
-            pairs = pairs.select("p", "a", "np", "n")
-        else:
-            sized = left.withColumns({"m": F.count("*").over(region), "mc": F.count("*").over(Window.partitionBy("h", "c"))})
-            ranked = sized.withColumn("k", F.row_number().over(region.orderBy("mc", "c", "a")))
-            chosen = ranked.where(f"k <= {PIVOTS} or m <= {SMALL}").select("h", F.col("a").alias("p"), F.col("c").alias("cp"), F.col("n").alias("np"), F.col("k").alias("kp"), F.col("d").alias("dp"))
-            near = (F.col("d").isNull() | F.col("dp").isNull() | (F.abs(F.col("d") - F.col("dp")) <= 1 - pct / 100 + 1e-9)) & (F.col("kp") < F.col("k")) & (F.col("c") != F.col("cp"))
-            pairs = ranked.join(chosen, "h").where(near).select("p", "a", "np", "n")
-        pairs = pairs.where(f"100 * least(n, np) >= {pct} * greatest(n, np)")
-        pairs = pairs.groupBy(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b")).agg(F.first(F.when(F.col("a") < F.col("p"), F.col("n")).otherwise(F.col("np"))).alias("na"), F.first(F.when(F.col("a") < F.col("p"), F.col("np")).otherwise(F.col("n"))).alias("nb"))
-        pairs = materialize(pairs)
-        held = pairs.select("a", "b").join(sets, "a").join(sets.select(F.col("a").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t")
-        found = held.mapInArrow(_compare, "a long, b long, both long").join(pairs, ["a", "b"])
-        found = materialize(found.withColumns({"link": F.expr(linked("both", "na", "nb", pct)), "d": 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))}))
-        links = links.union(found.where("link").select("a", "b"))
-        labels = components(links)
-        named = left.drop("c").join(labels.withColumnRenamed("v", "a"), "a", "left").withColumn("c", F.coalesce("c", "a"))
-        if turn == 0:
-            both = found.select("a", "b", "d").union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).withColumnRenamed("b", "p")
-            named = named.join(pivots, "h").where("a != p").join(both, ["a", "p"], "left").drop("p")
-        else:
-            named = named.join(ranked.where(f"k > {PIVOTS} and m > {SMALL}").select("h", "a"), ["h", "a"], "left_semi")
-        split = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-        left = materialize(named.join(split, "h", "left_semi").select("h", "a", "n", "c", "d"))
-        turn += 1
-        if left.isEmpty():
-            break
+    near = regions.join(regions.groupBy("h").agg(F.min("a").alias("b")), "h").groupBy("a", "b").count().where("a != b")
+    families = components(near.select("a", "b"))
+    links = family_links(families.select(F.col("c").alias("f"), F.col("v").alias("a")).join(sets, "a").select("f", "a", "s"), pct)
+    labels = components(links)
     named = points.join(labels.withColumnRenamed("v", "a"), "a", "left").select("a", "doc", F.coalesce("c", "a").alias("c"))
     least = named.groupBy("c").agg(F.min("doc").alias("component"))
     parts = named.join(least, "c").select("a", "component")
