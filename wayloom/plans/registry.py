@@ -4,12 +4,277 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geo, stats, timeparts
+from ..operators import cells, features, network, periods, trips
+from ..sources import testdata as td
+from . import oracles
+
+
+def r6(df: DataFrame, *keep: str) -> DataFrame:
+    """Doubles rounded to 6 decimals, as the SQL has them; sums of floats depend on their order beyond that."""
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
+
+
+def _points(s, d):
+    return trips.gap_points(td.positions(s, d), td.GAP_S)
+
+
+def _trips(s, d):
+    return trips.trips_of(_points(s, d))
+
+
+def _steps(s, d):
+    return trips.steps(_points(s, d)).where("pt is not null")
+
+
+def trip_gap_sessions(s, d):
+    return r6(_trips(s, d).select("uid", "tid", "n_points", "length_km", "duration_s", "src", "dst"))
+
+
+def trip_features(s, d):
+    return r6(features.trip_features(_trips(s, d)))
+
+
+def trip_segment_exact(s, d):
+    return trips.segment_exact(td.positions(s, d), time_s=td.GAP_S)
+
+
+def distance_spherical(s, d):
+    return r6(_steps(s, d).select("pid", geo.spherical_m("plon", "plat", "lon", "lat").alias("d_m")))
+
+
+def distance_haversine(s, d):
+    return r6(_steps(s, d).select("pid", F.col("km").alias("d_km")))
+
+
+def bearing(s, d):
+    b = geo.bearing("plon", "plat", "lon", "lat")
+    return r6(_steps(s, d).where("plon <> lon or plat <> lat").select("pid", b.alias("bearing")))
+
+
+def point_speed(s, d):
+    return r6(_steps(s, d).select("pid", "speed"))
+
+
+def closest_point(s, d):
+    c = geo.closest_on_segment("plon", "plat", "lon", "lat", F.lit(12.45), F.lit(41.85))
+    return r6(_steps(s, d).select("pid", c.alias("c")).select("pid", F.col("c.lon").alias("lon"), F.col("c.lat").alias("lat"), F.col("c.u").alias("u")))
+
+
+def point_at_time(s, d):
+    p = geo.point_at("plon", "plat", "pt", "lon", "lat", "t", F.col("pt") + 600)
+    return r6(_steps(s, d).select("pid", p.alias("p")).select("pid", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat")))
+
+
+def quadtree_path(s, d):
+    return td.positions(s, d).select("pid", geo.quadtree_path("lon", "lat").alias("path"))
+
+
+def geohash_cells(s, d):
+    p = td.positions(s, d)
+    return p.groupBy("uid").agg(F.countDistinct(geo.geohash_cell("lon", "lat", 5)).alias("k_min"), F.countDistinct(geo.geohash_cell("lon", "lat", 7)).alias("k_max"))
+
+
+def _cells(s, d):
+    pos = td.positions(s, d).select(F.col("pid").alias("eid"), "lon", "lat", "t")
+    crash = td.crashes(s, d).select(F.col("cid").alias("eid")).join(pos, "eid")
+    return cells.counters(trips.steps(_points(s, d)), _trips(s, d), pos, crash)
+
+
+def cell_counters(s, d):
+    return r6(_cells(s, d))
+
+
+def cell_rollup(s, d):
+    return r6(cells.roll_up(_cells(s, d), 12))
+
+
+def event_interval_join(s, d):
+    return trips.interval_join(td.events(s, d), _trips(s, d)).select("eid", "uid", "tid")
+
+
+def crash_interval_join(s, d):
+    return trips.interval_join(td.crashes(s, d), _trips(s, d)).select("cid", "uid", "tid")
+
+
+def event_features_type(s, d):
+    return r6(features.event_features(td.events(s, d), "event_type", "type"))
+
+
+def event_features_location(s, d):
+    return r6(features.event_features(td.events(s, d), "location_type", "loc"))
+
+
+def event_features_cross(s, d):
+    return r6(features.event_cross(td.events(s, d)))
+
+
+def event_grouping_sets(s, d):
+    return features.event_grouping_sets(td.events(s, d))
+
+
+def movement_event_stats(s, d):
+    e = trips.interval_join(td.events(s, d), _trips(s, d)).join(_trips(s, d).select("uid", "tid", "src", "dst"), ["uid", "tid"])
+    return r6(e.groupBy("src", "dst", "event_type").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in ("speed", "max_acc", "avg_acc", "duration") for n, f in (("avg", F.avg), ("std", F.stddev_pop))]))
+
+
+def od_edges(s, d):
+    return network.edges(_trips(s, d))
+
+
+def location_support_rank(s, d):
+    return network.support(network.endpoints(_trips(s, d)))
+
+
+def next_location_entropy(s, d):
+    return r6(network.next_entropy(network.edges(_trips(s, d))))
+
+
+def radius_of_gyration(s, d):
+    return r6(network.gyration(network.endpoints(_trips(s, d))))
+
+
+def iqr_movement_stats(s, d):
+    t = stats.iqr_filter(_trips(s, d).select("src", "dst", "length_km"), ["src", "dst"], "length_km")
+    return r6(t.groupBy("src", "dst").agg(F.count("*").alias("n"), F.percentile("length_km", 0.5).alias("median_km"), F.avg("length_km").alias("mean_km"), F.stddev_pop("length_km").alias("std_km")))
+
+
+def support_knee(s, d):
+    return network.knee(network.support(network.endpoints(_trips(s, d))))
+
+
+def stay_durations(s, d):
+    st = network.stays(_trips(s, d))
+    return r6(st.groupBy("uid", "lid").agg(F.count("*").alias("n"), F.avg("stay_s").alias("avg_s"), F.stddev_pop("stay_s").alias("std_s")))
+
+
+def stay_minute_hist(s, d):
+    return network.stay_minutes(network.stays(_trips(s, d)))
+
+
+def stay_minute_share(s, d):
+    h = network.stay_minutes(network.stays(_trips(s, d)))
+    return r6(h.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("uid", "minute"))).drop("n"))
+
+
+def timeslot_day_counts(s, d):
+    return network.slot_days(network.stays(_trips(s, d)))
+
+
+def _orders(s, d):
+    o = td.table(s, d, "orders")
+    ts = F.col("o_orderdate")
+    return o.select(F.col("o_custkey").alias("uid"), F.col("o_orderkey").alias("id"), ts.alias("ts"), timeparts.month_index(ts).cast("long").alias("month"), F.col("o_orderstatus").alias("status"))
+
+
+FIRST, LAST = 1995 * 12, 1995 * 12 + 13
+
+
+def month_pair_windows(s, d):
+    return periods.month_pair_counts(_orders(s, d))
+
+
+def sliding_periods(s, d):
+    return periods.assign(_orders(s, d), periods.periods(s, FIRST, LAST)).groupBy("idx").agg(F.count("*").alias("n"), F.countDistinct("uid").alias("n_users"))
+
+
+def period_labels(s, d):
+    o = _orders(s, d)
+    return periods.labels(o, o.where("status = 'F'"), periods.periods(s, FIRST, LAST))
+
+
+def anti_join_users(s, d):
+    e = td.events(s, d)
+    return e.join(td.crashes(s, d).select("uid").distinct(), "uid", "left_anti").groupBy("uid").agg(F.count("*").alias("n"))
+
+
+def first_event_per_month(s, d):
+    return periods.first_per_month(_orders(s, d)).select("uid", "month", "id")
+
+
+def dedup_first(s, d):
+    return periods.first_of(_orders(s, d), "uid", "ts", "id").select("uid", "id")
+
+
+def _half(s, d, late: bool):
+    t = F.col("t") >= 1705276800.0
+    p = td.positions(s, d).where(t if late else ~t)
+    return p.groupBy("uid", "lid").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+
+
+def nearest_center(s, d):
+    c = _half(s, d, False).select("uid", F.col("lid").alias("cid"), F.col("lon").alias("clon"), F.col("lat").alias("clat"))
+    return network.nearest(td.positions(s, d).select("uid", "pid", "lon", "lat"), c).select("pid", "cid")
+
+
+def cross_window_match(s, d):
+    old = _half(s, d, False).select("uid", F.col("lid").alias("oid"), F.col("lon").alias("olon"), F.col("lat").alias("olat"))
+    return r6(network.match_windows(_half(s, d, True), old))
+
+
+def jaccard_cosine_change(s, d):
+    t = _trips(s, d)
+    late = F.col("t0") >= 1705276800.0
+    n = network.endpoints(t).withColumn("t0", F.col("t")).groupBy("uid", "lid").agg(F.count_if(~late).alias("a"), F.count_if(late).alias("b"))
+    one = F.count_if((F.col("a") > 0) & (F.col("b") > 0)) / F.count_if((F.col("a") > 0) | (F.col("b") > 0))
+    cosine = F.try_divide(F.sum(F.col("a") * F.col("b")), F.sqrt(F.sum(F.col("a") * F.col("a"))) * F.sqrt(F.sum(F.col("b") * F.col("b"))))
+    return r6(n.groupBy("uid").agg(one.alias("jaccard"), (1 - cosine).alias("cosine")))
+
+
+def graph_degree_density(s, d):
+    return r6(network.degrees(network.edges(_trips(s, d))))
+
+
+def graph_triangles(s, d):
+    return network.triangles(network.edges(_trips(s, d)))
+
+
+def graph_metrics(s, d):
+    return network.graph_metrics(network.edges(_trips(s, d)))
+
+
+def collective_features(s, d):
+    pts = _points(s, d).withColumn("path", geo.quadtree_path("lon", "lat", 12))
+    top = network.support(network.endpoints(_trips(s, d))).where("rank < 2").select("uid", "lid")
+    regular = pts.join(top, ["uid", "lid"]).select("uid", "path").distinct()
+    return r6(cells.collective(pts.select("uid", "tid", "path"), cells.roll_up(_cells(s, d), 12), regular, ["n_move", "n_stop", "sum_speed"]))
+
+
+def minmax_scale(s, d):
+    c = td.table(s, d, "customer")
+    bounds = c.agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
+    return r6(c.join(F.broadcast(bounds)).select("c_custkey", F.coalesce(F.try_divide(F.col("c_acctbal") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)).alias("scaled")))
+
+
+def deviation_from_mean(s, d):
+    c = td.table(s, d, "customer")
+    b = c.agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"), F.avg("c_acctbal").alias("mean"))
+    return r6(c.join(F.broadcast(b)).select("c_custkey", F.try_divide(F.col("c_acctbal") - F.col("mean"), F.col("hi") - F.col("lo")).alias("deviation")))
+
+
+def quantile_bins(s, d):
+    c = td.table(s, d, "customer")
+    q = c.agg(F.percentile("c_acctbal", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    x = F.col("c_acctbal")
+    return c.join(F.broadcast(q)).select("c_custkey", F.when(x <= F.col("q")[0], 0).when(x <= F.col("q")[1], 1).when(x <= F.col("q")[2], 2).otherwise(3).alias("bin"))
+
+
+_ALL = (
+    trip_gap_sessions, trip_features, trip_segment_exact, distance_spherical, distance_haversine, bearing, point_speed, closest_point, point_at_time,
+    quadtree_path, geohash_cells, cell_counters, cell_rollup, event_interval_join, crash_interval_join, event_features_type, event_features_location,
+    event_features_cross, event_grouping_sets, movement_event_stats, od_edges, location_support_rank, next_location_entropy, radius_of_gyration,
+    iqr_movement_stats, support_knee, stay_durations, stay_minute_hist, stay_minute_share, timeslot_day_counts, month_pair_windows, sliding_periods,
+    period_labels, anti_join_users, first_event_per_month, dedup_first, nearest_center, cross_window_match, jaccard_cosine_change, graph_degree_density,
+    graph_triangles, graph_metrics, collective_features, minmax_scale, deviation_from_mean, quantile_bins,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql()
