@@ -273,11 +273,25 @@ def online(t: Tables, w: np.ndarray, n: np.ndarray, seed: int, fill: bool) -> np
     return np.stack([ones, all_]) if fill else np.concatenate([t.weights * seen[:, None], seen[:, None]], 1)
 
 
+_COUNTS: dict = {}
+
+
+def unpacked(packed) -> list[np.ndarray]:
+    """Slot counts by context from their compressed chunks; once a worker process."""
+    if packed.value is not _COUNTS.get("of"):
+        counts = [np.zeros(1 << s, np.uint32) for s in SLOTS]
+        for k, chunk, n in packed.value:
+            zeros, ones = np.frombuffer(zlib.decompress(n), np.uint16).reshape(2, -1).astype(np.uint32)
+            counts[k][chunk * CHUNK : (chunk + 1) * CHUNK] = zeros | ones << np.uint32(16)
+        _COUNTS.update(of=packed.value, counts=counts)
+    return _COUNTS["counts"]
+
+
 def _train(counts, weights: np.ndarray, fill: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = Tables(counts.value)
+                t = Tables(unpacked(counts))
                 t.weights = weights
                 x = online(t, np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64), shard, fill)
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([x.tobytes()])], names=["shard", "x"])
@@ -291,20 +305,17 @@ def refined(ones: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return ((ones + 4 * start) / (seen + 4)).astype(np.float32)
 
 
-def train(texts: DataFrame) -> Tables:
-    """A model of the texts. The driver gets slots, weights and maps, whose sizes are fixed."""
+def train(texts: DataFrame) -> tuple:
+    """A model of the texts: broadcast slots, weights, map. The driver gets these only, and their sizes are fixed."""
     spark = texts.sparkSession
     parts = min(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = texts.mapInArrow(_gather, "shard int, w binary, n binary")
     shards = materialize(dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_join_shards, "shard int, w binary, n binary"))
     sparse = shards.mapInArrow(_count_slots, "k int, chunk int, at binary, n binary")
     dense = sparse.repartition(parts, "k", "chunk").sortWithinPartitions("k", "chunk").mapInArrow(_join_slots, "k int, chunk int, n binary")
-    counts = [np.zeros(1 << s, np.uint32) for s in SLOTS]
-    for k, chunk, n in dense.collect():
-        zeros, ones = np.frombuffer(zlib.decompress(n), np.uint16).reshape(2, -1).astype(np.uint32)
-        counts[k][chunk * CHUNK : (chunk + 1) * CHUNK] = zeros | ones << np.uint32(16)
-    model = Tables(counts)
-    fixed = spark.sparkContext.broadcast(counts)
+    packed = [(k, chunk, bytes(n)) for k, chunk, n in dense.collect()]
+    fixed = spark.sparkContext.broadcast(packed)
+    model = Tables([])
     ordered = shards.repartition(parts, "shard")
     for turn in range(PASSES + 1):
         got = sorted((r.shard, r.x) for r in ordered.mapInArrow(_train(fixed, model.weights, turn == PASSES), "shard int, x binary").collect())
@@ -316,7 +327,7 @@ def train(texts: DataFrame) -> Tables:
         else:
             ones, all_ = sum(np.frombuffer(b).reshape(2, -1) for _, b in got)
             model.map = refined(ones, all_)
-    return model
+    return fixed, model.weights, model.map
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +352,8 @@ def _score(model, head, n_train: int, n_known: int):
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, counts = model.value, head.value
+        tables, counts = Tables(unpacked(model[0])), head.value
+        tables.weights, tables.map = model[1:]
         logs = {t: float(np.log10((c + 0.5) / floor)) for t, c in counts.items()}
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -377,7 +389,7 @@ def score(docs: DataFrame) -> DataFrame:
     n_train, n_known = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
     # At most HEAD words can have a HEAD-th of all tokens each.
     head = spark.sparkContext.broadcast({bytes(r.token): r.n for r in words.where(F.col("n") * HEAD >= n_train).collect()})
-    model = spark.sparkContext.broadcast(train(own))
+    model = train(own)
     rows = materialize(d.mapInArrow(_score(model, head, n_train, n_known), "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, tail array<struct<token:binary,tf:long>>"))
     tail = rows.select("rid", F.explode("tail").alias("x")).select("rid", "x.token", "x.tf")
     each = tail.join(words, "token", "left").withColumn("c", F.coalesce("n", F.lit(0)))
