@@ -51,6 +51,8 @@ SHARDS = 64
 HEAD = 200_000
 PRIOR, RATE, BATCH, PASSES = 0.4, 0.05, 512, 2
 GATES = ORDERS * 8
+#: Windows whose scores a task remembers before it starts anew.
+MEMORY = 1_500_000
 CHUNK = 1 << 16
 LOG = np.log(np.arange(1 << 16, dtype=np.float64) + PRIOR).astype(np.float32)
 
@@ -206,6 +208,7 @@ class Tables:
         self.counts = counts  # by context, slots of 16 bits of zeros below 16 of ones
         self.weights = np.full((GATES, ORDERS), 0.25)
         self.map = None
+        self.known = (np.zeros(0, np.uint64), np.zeros(0))
 
     def inputs(self, s: np.ndarray, bits: np.ndarray, unseen: bool) -> tuple[np.ndarray, np.ndarray]:
         """(orders, n, 8) stretched probabilities, (n, 8) gates; unseen: without the window itself, once."""
@@ -246,6 +249,26 @@ class Tables:
         return out
 
 
+def remembered(t: Tables, w: np.ndarray) -> np.ndarray:
+    """log_p of distinct windows; those of the blocks before are looked up."""
+    order = np.argsort(w)
+    w, (old, value) = w[order], t.known
+    at = np.minimum(np.searchsorted(old, w), max(len(old) - 1, 0))
+    hit = old[at] == w if len(old) else np.zeros(len(w), bool)
+    p = np.empty(len(w))
+    p[hit] = value[at[hit]]
+    p[~hit] = fresh = t.log_p(w[~hit])
+    if len(old) + len(fresh) > MEMORY:
+        t.known = (w, p)
+    else:
+        both, values = np.concatenate([old, w[~hit]]), np.concatenate([value, fresh])
+        by = np.argsort(both, kind="stable")
+        t.known = (both[by], values[by])
+    out = np.empty(len(w))
+    out[order] = p
+    return out
+
+
 def online(t: Tables, w: np.ndarray, n: np.ndarray, seed: int, fill: bool) -> np.ndarray:
     """One pass over windows in random order -> weights by what each gate saw, and that; or the sums of the map."""
     order = np.random.RandomState(seed).permutation(len(w))
@@ -358,11 +381,11 @@ def _score(model, head, n_train: int, n_known: int):
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = lowered(batch.column(2))
-            for lo, hi in text_blocks(texts, 4_000_000):
+            for lo, hi in text_blocks(texts, 2_000_000):
                 own = texts[lo:hi]
                 w, starts = windows(own)
                 codes, uniq = pd.factorize(w)
-                sums = np.add.reduceat(tables.log_p(uniq)[codes], starts) / np.log(10)
+                sums = np.add.reduceat(remembered(tables, uniq)[codes], starts) / np.log(10)
                 tokens, known, base, tails = [], [], [], []
                 for t in own:
                     tf = Counter(t.split())
