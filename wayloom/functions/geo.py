@@ -16,19 +16,24 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _to_one(x: Column) -> Column:
+    """At most 1, and null where x is: ``least`` would pass over a null and make the distance half the globe."""
+    return F.when(x > 1.0, 1.0).otherwise(x)
+
+
 def spherical_m(lon1, lat1, lon2, lat2) -> Column:
     """Great-circle distance by the mean-latitude form."""
     lon1, lat1, lon2, lat2 = map(_col, (lon1, lat1, lon2, lat2))
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     mean = F.radians((lat1 + lat2) / 2)
     f = F.pow(F.sin(dlat), 2) * F.pow(F.cos(dlon), 2) + F.pow(F.sin(dlon), 2) * F.pow(F.cos(mean), 2)
-    return 2 * RADIUS_M * F.asin(F.sqrt(F.least(f, F.lit(1.0))))
+    return 2 * RADIUS_M * F.asin(F.sqrt(_to_one(f)))
 
 
 def haversine_km(lon1, lat1, lon2, lat2) -> Column:
     lon1, lat1, lon2, lat2 = map(_col, (lon1, lat1, lon2, lat2))
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * RADIUS_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * RADIUS_KM * F.asin(F.sqrt(_to_one(a)))
 
 
 def euclidean(x1, y1, x2, y2) -> Column:

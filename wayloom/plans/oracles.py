@@ -15,7 +15,7 @@ crashes_v as (select user_id as uid, event_id as cid, epoch_us(ts) / 1.0e6 as t
 gaps as (select *, case when t - lag(t) over (partition by uid order by t, pid) > 43200 then 1 else 0 end as new_trip from positions_v where gps_quality >= 3),
 points as (select *, cast(sum(new_trip) over (partition by uid order by t, pid rows unbounded preceding) as bigint) as tid from gaps),
 lagged as (select *, lag(lon) over w as plon, lag(lat) over w as plat, lag(t) over w as pt, row_number() over w as k from points window w as (partition by uid, tid order by t, pid)),
-steps0 as (select *, 2*6367.0*asin(sqrt(least(pow(sin(radians(lat-plat)/2),2)+cos(radians(plat))*cos(radians(lat))*pow(sin(radians(lon-plon)/2),2),1.0))) as km, t - pt as dt from lagged),
+steps0 as (select *, case when plon is not null then 2*6367.0*asin(sqrt(least(pow(sin(radians(lat-plat)/2),2)+cos(radians(plat))*cos(radians(lat))*pow(sin(radians(lon-plon)/2),2),1.0))) end as km, t - pt as dt from lagged),
 allsteps as (select *, case when dt > 0 then km/(dt/3600) else 0.0 end as speed from steps0),
 steps as (select * from allsteps where pt is not null),
 trips as (select uid, tid, count(*) as n_points, min(t) as t0, max(t) as t1, coalesce(sum(km), 0.0) as length_km, max(t)-min(t) as duration_s,
