@@ -37,3 +37,9 @@ def test_same_as_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
+
+
+def test_trip_lengths_count_steps_only(spark):
+    """The first point of a trip has no step: points lie within 25 km of one another."""
+    t = registry.queries()["trip_gap_sessions"](spark, SF).selectExpr("max(length_km / (n_points - 1)) as far").first()
+    assert t.far < 25

@@ -123,8 +123,22 @@ def brandes(out: dict, nodes: list) -> tuple[dict, dict, dict]:
     return node, edge, far
 
 
+def directed_clustering(pairs: list[tuple], nodes: list) -> float:
+    """Mean over nodes of directed triangles by those possible, reciprocal edges counted out; loops are left out."""
+    place = {v: i for i, v in enumerate(nodes)}
+    a = np.zeros((len(nodes), len(nodes)))
+    for s, t in pairs:
+        if s != t:
+            a[place[s], place[t]] = 1
+    both = a + a.T
+    closed = ((both @ both) * both.T).sum(1)
+    deg = both.sum(1)
+    room = 2 * (deg * (deg - 1) - 2 * (a * a.T).sum(1))
+    return float(np.mean(np.divide(closed, room, out=np.zeros(len(nodes)), where=closed > 0)))
+
+
 def graph_metrics(edge: DataFrame) -> DataFrame:
-    """Per user: diameter and mean eccentricity of the largest undirected component, assortativity, greatest betweenness."""
+    """Per user: diameter and mean eccentricity of the largest undirected component, assortativity, greatest betweenness, directed clustering."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = list(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True))
@@ -150,9 +164,9 @@ def graph_metrics(edge: DataFrame) -> DataFrame:
         deg = {v: len(near[v]) + (v in near[v]) for v in nodes}
         x = np.array([(deg[a], deg[b]) for a in nodes for b in near[a]], float)
         same = len(x) == 0 or x[:, 0].std() == 0
-        return pd.DataFrame([(pdf["uid"].iloc[0], n, max(far.values()), float(np.mean(list(far.values()))), None if same else float(np.corrcoef(x.T)[0, 1]), max(node.values()) * scale)], columns=["uid", "n", "diameter", "eccentricity", "assortativity", "max_betweenness"])
+        return pd.DataFrame([(pdf["uid"].iloc[0], n, max(far.values()), float(np.mean(list(far.values()))), None if same else float(np.corrcoef(x.T)[0, 1]), max(node.values()) * scale, directed_clustering(pairs, nodes))], columns=["uid", "n", "diameter", "eccentricity", "assortativity", "max_betweenness", "clustering"])
 
-    return edge.groupBy("uid").applyInPandas(one, "uid long, n long, diameter long, eccentricity double, assortativity double, max_betweenness double")
+    return edge.groupBy("uid").applyInPandas(one, "uid long, n long, diameter long, eccentricity double, assortativity double, max_betweenness double, clustering double")
 
 
 def slot_days(stay: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, stats, timeparts
-from ..operators import cells, features, network, periods, trips
+from ..operators import cells, features, learning, network, periods, places, trajectories, trips
 from ..sources import testdata as td
 from . import oracles
 
@@ -262,6 +262,55 @@ def quantile_bins(s, d):
     return c.join(F.broadcast(q)).select("c_custkey", F.when(x <= F.col("q")[0], 0).when(x <= F.col("q")[1], 1).when(x <= F.col("q")[2], 2).otherwise(3).alias("bin"))
 
 
+def regular_locations(s, d):
+    t = _trips(s, d)
+    return places.regular_places(network.endpoints(t), network.edges(t))
+
+
+def tosca_locations(s, d):
+    return places.detect_places(network.endpoints(_trips(s, d)), ["uid"])
+
+
+def kmeans_cells(s, d):
+    return places.global_kmeans(td.table(s, d, "embeddings"), "embedding", 8).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+def _ways(s, d):
+    p = _points(s, d)
+    return trajectories.with_points(p, trips.trips_of(p))
+
+
+def trajectory_medoid(s, d):
+    return r6(trajectories.movement_prototypes(_ways(s, d)))
+
+
+def trajectory_inclusion(s, d):
+    """Rides between trips of different users on the same day that begin in the same cell."""
+    w = _ways(s, d).withColumns({"day": F.floor(F.col("t0") / timeparts.DAY), "cell": geo.geohash_cell(F.col("first.lon"), F.col("first.lat"), 5)})
+    side = lambda x: w.select("day", "cell", F.col("uid").alias(f"{x}_uid"), F.col("tid").alias(f"{x}_tid"), F.col("points").alias(f"{x}_points"))
+    pairs = side("a").join(side("b"), ["day", "cell"]).where("a_uid <> b_uid")
+    return r6(trajectories.rides(pairs, 500.0, 14400.0))
+
+
+def _risk_table(s, d):
+    f = features.trip_features(_trips(s, d)).select("uid", *RISK)
+    return f.join(td.crashes(s, d).select("uid", F.lit(1).alias("crash")).distinct(), "uid", "left").withColumn("crash", F.coalesce("crash", F.lit(0)))
+
+
+RISK = ["tot_traj", "tot_km", "avg_km", "avg_speed", "std_speed", "night_traj"]
+
+
+def smote(s, d):
+    t = td.table(s, d, "labels").join(td.table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return r6(learning.smote(t, "doc_id", "toxic", ["n_chars", "quality"]))
+
+
+def risk_score(s, d):
+    t = _risk_table(s, d)
+    t = learning.scale(t, learning.fit_scaling(t, RISK), RISK)
+    return r6(learning.risk(learning.train(t, "crash", RISK), t, RISK).select("uid", "crash", "risk", "flag"))
+
+
 _ALL = (
     trip_gap_sessions, trip_features, trip_segment_exact, distance_spherical, distance_haversine, bearing, point_speed, closest_point, point_at_time,
     quadtree_path, geohash_cells, cell_counters, cell_rollup, event_interval_join, crash_interval_join, event_features_type, event_features_location,
@@ -269,6 +318,7 @@ _ALL = (
     iqr_movement_stats, support_knee, stay_durations, stay_minute_hist, stay_minute_share, timeslot_day_counts, month_pair_windows, sliding_periods,
     period_labels, anti_join_users, first_event_per_month, dedup_first, nearest_center, cross_window_match, jaccard_cosine_change, graph_degree_density,
     graph_triangles, graph_metrics, collective_features, minmax_scale, deviation_from_mean, quantile_bins,
+    regular_locations, tosca_locations, kmeans_cells, trajectory_medoid, trajectory_inclusion, smote, risk_score,
 )
 
 
