@@ -89,6 +89,43 @@ def test_components_with_small_limits(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), least[i]) for i, s in enumerate(sets)}
 
 
+def shared_ids():
+    """Many texts under one id and under null, with near copies under other ids, copies, and empty texts."""
+    random.seed(5)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(40):
+        t = [random.choice(words) for _ in range(80)]
+        rows.append(((7, None)[i % 2], " ".join(t)))
+        if i % 3 == 0:
+            t[random.randrange(80)] = "other"
+            rows.append(((100 + i, 7, None)[i % 9 // 3], " ".join(t)))
+    return [*rows, rows[0], (7, rows[0][1].upper()), (500, rows[1][1]), (7, ""), (7, ""), (None, None), (None, " "), (600, "a b"), (None, "a b"), (700, "c d"), (8, None)]
+
+
+def linked(rows, n, pct):
+    """For each row the numbers of the rows that links reach from it, itself included."""
+    sets = [set(shingle_set(t, n).tolist()) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and 100 * len(a & b) >= pct * len(a | b):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return sets, [[k for k, h in enumerate(group) if h == g] for g in group]
+
+
+def test_texts_under_one_id(spark):
+    rows = shared_ids()
+    sets, groups = linked(rows, 4, 85)
+    doc = lambda i: jaccard_join.NO_ID if rows[i][0] is None else rows[i][0]
+    real = lambda d: None if d == jaccard_join.NO_ID else d
+    want = Counter((rows[i][0], len(s), real(min(map(doc, groups[i])))) for i, s in enumerate(sets))
+    for parts in (1, 5):
+        got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), 4, 85).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_mix(docs):
     rows = source_mix.mix(docs).collect()
     by = {}

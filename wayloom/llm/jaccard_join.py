@@ -22,8 +22,9 @@ Only the links of a spanning forest leave a family, at most one a point.
 
 Defined results: null and empty texts are the empty set, linked with nothing; texts
 shorter than a shingle are one shingle; rows with equal sets, repeated rows too, are
-one point; null doc_ids count as the least id; an empty table gives an empty table;
-other columns are dropped. Sets and shingles are told apart by 64-bit hashes.
+one point; null doc_ids count as the least id; texts under one doc_id are points of
+their own; an empty table gives an empty table; other columns are dropped. Texts, sets
+and shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -53,11 +54,11 @@ def reach(n: int, pct: int) -> tuple[int, int]:
 
 
 def _sketch(shingle: int, pct: int):
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("need", pa.int64()), ("pivots", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("need", pa.int64()), ("pivots", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, marks, texts = batch.column(0), batch.column(1), batch.column(2)
             for lo in range(0, len(ids), 500):
                 n, a, need, pivots = [], [], [], []
                 for t in texts[lo : lo + 500].to_pylist():
@@ -68,7 +69,7 @@ def _sketch(shingle: int, pct: int):
                     pivots.append(s[: reach(len(s), pct)[0]].view(np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in pivots])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(pivots) if pivots else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([ids[lo : lo + 500], pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(need, pa.int64()), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids[lo : lo + 500], marks[lo : lo + 500], pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(need, pa.int64()), lists], schema=schema)
 
     return run
 
@@ -242,20 +243,31 @@ def _regions(sketch: DataFrame) -> DataFrame:
     return materialize(cut.join(cut.groupBy("h").count().where("count > 1"), "h", "left_semi"))
 
 
-def join(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id that links reach, itself included)."""
-    d = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
-    sketch = materialize(d.mapInArrow(_sketch(shingle, pct), "doc long, n long, a long, need long, pivots array<long>"))
-    points = sketch.where("n > 0").groupBy("a").agg(F.min("doc").alias("doc"))
+def text_mark() -> Column:
+    """What tells the texts under one doc_id apart."""
+    return F.xxhash64("text")
+
+
+def _labelled(docs: DataFrame, shingle: int, pct: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, t, n, a), and points (a, doc, t, c): the row that stands for a set, and its component."""
+    d = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), text_mark().alias("t"), "text")
+    sketch = materialize(d.mapInArrow(_sketch(shingle, pct), "doc long, t long, n long, a long, need long, pivots array<long>"))
+    points = sketch.where("n > 0").groupBy("a").agg(F.min(F.struct("doc", "t")).alias("row")).select("a", "row.doc", "row.t")
     regions = _regions(sketch)
     active = regions.select("a").distinct().join(points, "a")
-    texts = d.join(active, "doc").join(sketch.select("doc", F.col("a").alias("a2")), "doc").where("a = a2").select("a", "text")
+    texts = d.join(active, ["doc", "t"]).select("a", "text")
     sets = materialize(texts.dropDuplicates(["a"]).mapInArrow(_sets(shingle), "a long, s binary"))
     near = regions.join(regions.groupBy("h").agg(F.min("a").alias("b")), "h").groupBy("a", "b").count().where("a != b")
     families = components(near.select("a", "b"))
     links = family_links(families.select(F.col("c").alias("f"), F.col("v").alias("a")).join(sets, "a").select("f", "a", "s"), pct)
     labels = components(links)
-    named = points.join(labels.withColumnRenamed("v", "a"), "a", "left").select("a", "doc", F.coalesce("c", "a").alias("c"))
+    named = points.join(labels.withColumnRenamed("v", "a"), "a", "left").select("a", "doc", "t", F.coalesce("c", "a").alias("c"))
+    return sketch, named
+
+
+def join(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id that links reach, itself included)."""
+    sketch, named = _labelled(docs, shingle, pct)
     least = named.groupBy("c").agg(F.min("doc").alias("component"))
     parts = named.join(least, "c").select("a", "component")
     out = sketch.select("doc", "n", "a").join(parts, "a", "left")
