@@ -126,6 +126,22 @@ def test_texts_under_one_id(spark):
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+def test_keep_one_of_each_group(spark):
+    rows = shared_ids()
+    sets, groups = linked(rows, 4, 85)
+    doc = lambda i: jaccard_join.NO_ID if rows[i][0] is None else rows[i][0]
+    # Of a group the least id stays; which of its texts under that id is open.
+    clean = {tuple(g) for s, g in zip(sets, groups, strict=True) if s}
+    for parts in (1, 5):
+        frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "row long, doc_id long, text string").repartition(parts)
+        got = jaccard_join.keep_one(frame, 4, 85)
+        assert got.columns == frame.columns
+        kept = sorted(r.row for r in got.collect())
+        assert [k for k in kept if not sets[k]] == [k for k, s in enumerate(sets) if not s]
+        assert sorted(tuple(groups[k]) for k in kept if sets[k]) == sorted(clean)
+        assert all(doc(k) == min(map(doc, groups[k])) for k in kept)
+
+
 def test_mix(docs):
     rows = source_mix.mix(docs).collect()
     by = {}

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import BLANK, materialize
 from .components import components
 from .shingles import shingle_set
 
@@ -276,6 +276,13 @@ def join(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, pct: int = 80) -> DataFrame:
-    """The documents with the least doc_id of each component; of rows with one doc_id, one stays."""
-    stay = join(docs, shingle, pct).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component, that of the least doc_id (then text hash), and all without a word.
+
+    Of rows with that doc_id and that text, one stays.
+    """
+    d = docs.withColumns({"__doc": F.coalesce("doc_id", F.lit(NO_ID)), "__t": text_mark()})
+    worded = F.coalesce("text", F.lit("")).rlike(f"[^{BLANK}]")
+    named = _labelled(docs, shingle, pct)[1]
+    stay = named.groupBy("c").agg(F.min(F.struct("doc", "t")).alias("row")).select(F.col("row.doc").alias("__doc"), F.col("row.t").alias("__t"))
+    kept = d.where(worded).join(stay, ["__doc", "__t"], "left_semi").dropDuplicates(["__doc", "__t"])
+    return kept.select(*docs.columns).union(docs.where(~worded))
