@@ -10,6 +10,7 @@ from wayloom.operators import clustering as c
 from wayloom.operators import trajectories as tr
 from wayloom.operators.network import directed_clustering
 from wayloom.operators.places import prune, steady_seed
+from wayloom.plans import registry
 
 RNG = np.random.default_rng(1)
 BLOBS = np.concatenate([RNG.normal(m, 0.01, (40, 2)) for m in ((0, 0), (1, 0), (0, 1), (3, 3))])
@@ -109,6 +110,40 @@ def test_inclusion():
     assert tr.inclusion_synch(way, part + [0, 0, 20000], 500, 600) is None
 
 
+def every_ride(trips, space_m, time_s):
+    """Of (day, uid, tid, way) rows, the pairs of one day and different users that are rides."""
+    return {(x[1], x[2], y[1], y[2]) for x in trips for y in trips if x[0] == y[0] and x[1] != y[1] and tr.inclusion_synch(x[3], y[3], space_m, time_s)}
+
+
+def test_rides_of_all_pairs(spark):
+    sf = "/root/testdata/sf0.01"
+    trips = [(r.t0 // 86400, r.uid, r.tid, tr.as_array(r.points)) for r in registry._ways(spark, sf).collect()]
+    got = [(r.a_uid, r.a_tid, r.b_uid, r.b_tid) for r in registry.trajectory_inclusion(spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == every_ride(trips, 500.0, 14400.0)
+
+
+def test_ride_candidates(spark):
+    assert tr.cell_of(np.array([-179.9995, -17.0]), 250.0) in tr.way_cells(np.array([[179.98, -17.0], [179.9995, -17.0]]), 250.0)
+    rng = np.random.RandomState(3)
+    trips = []
+    for uid in range(160):
+        lon0, lat0 = ((12.5, 41.9), (179.7, -17.0), (25.0, 70.0))[uid % 3]
+        way = np.cumsum(np.vstack([[lon0, lat0] + rng.uniform(-0.02, 0.02, 2), rng.uniform(-0.01, 0.02, (5, 2))]), 0)
+        if uid % 8 < 5 and uid > 8:
+            # A part of an earlier trip, moved by at most some 300 m.
+            other = trips[uid - 9][3]
+            lo, hi = sorted(rng.uniform(0, len(other) - 1, 2))
+            way = np.array([[np.interp(x, range(len(other)), other[:, k]) for k in (0, 1)] for x in (lo, hi)]) + rng.uniform(-0.003, 0.003, 2)
+        if uid % 5 == 0:
+            way = np.insert(way, len(way) - 1, way[-2], 0)
+        trips.append((0, uid, 0, np.column_stack([way, 30000.0 + 60 * np.arange(len(way))])))
+    rows = [(d, u, k, [(float(t), i, float(x), float(y)) for i, (x, y, t) in enumerate(w)]) for d, u, k, w in trips]
+    frame = spark.createDataFrame(rows, "day long, uid long, tid long, points array<struct<t: double, pid: int, lon: double, lat: double>>")
+    got = [tuple(r)[1:] for r in tr.ride_candidates(frame, 500.0).collect()]
+    want = every_ride(trips, 500.0, 14400.0)
+    assert len(want) > 20 and len(got) == len(set(got)) and want <= set(got) and len(got) < 160 * 159 / 4
+
+
 def test_cuts():
     way = line(12.5, 12.51, 12.52, 12.53)
     assert tr.between(way, 60, 120)[:, 2].tolist() == [60, 120] and tr.between(way, 500, 600) is None

@@ -200,6 +200,73 @@ def movement_prototypes(trips: DataFrame) -> DataFrame:
     return trips.select("uid", "src", "dst", "tid", "t0", "points").groupBy("uid", "src", "dst").applyInPandas(one, "uid long, src long, dst long, n long, tid long, cost_m double")
 
 
+def _columns(lon: np.ndarray, row: np.ndarray, tall: float) -> np.ndarray:
+    """Grid columns of longitudes in a row, about as wide as the rows are tall."""
+    return np.floor(lon * (np.maximum(np.cos(np.radians((row + 0.5) * tall)), 1e-3) / tall)).astype(np.int64)
+
+
+def _code(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    return row * (1 << 32) + col
+
+
+def cell_of(p: np.ndarray, reach_m: float) -> int:
+    """The grid cell of a place, twice the reach tall."""
+    tall = math.degrees(2 * reach_m / geo.RADIUS_M)
+    row = np.floor(p[1:2] / tall).astype(np.int64)
+    return int(_code(row, _columns((p[:1] + 180) % 360 - 180, row, tall))[0])
+
+
+def way_cells(way: np.ndarray, reach_m: float) -> np.ndarray:
+    """The cells of all places within reach of a way (away from the poles); segments without length have none."""
+    tall, found = math.degrees(2 * reach_m / geo.RADIUS_M), []
+    for a, b in zip(way[:-1, :2], way[1:, :2], strict=True):
+        if not ((b - a) ** 2).sum():
+            continue
+        at = a + np.linspace(0, 1, 2 + int(np.abs(b - a).max() / tall))[:, None] * (b - a)
+        lo, hi = np.minimum(at[:-1], at[1:]), np.maximum(at[:-1], at[1:])
+        up = 1.01 * math.degrees(reach_m / geo.RADIUS_M)
+        south, north = lo[:, 1] - up, hi[:, 1] + up
+        side = up / np.maximum(np.cos(np.radians(np.maximum(np.abs(south), np.abs(north)))), 1e-3)
+        for turn in (-360, 0, 360):
+            west, east = np.maximum(lo[:, 0] - side + turn, -180), np.minimum(hi[:, 0] + side + turn, 180)
+            own = west <= east
+            first, last = np.floor(south / tall).astype(np.int64), np.floor(north / tall).astype(np.int64)
+            for k in range(int((last - first)[own].max()) + 1 if own.any() else 0):
+                row = first + k
+                ok = own & (row <= last)
+                row = row[ok]
+                c0, c1 = _columns(west[ok], row, tall), _columns(east[ok], row, tall)
+                for j in range(int((c1 - c0).max()) + 1 if len(row) else 0):
+                    found.append(_code(row, c0 + j)[c0 + j <= c1])
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def ride_candidates(ways: DataFrame, space_m: float) -> DataFrame:
+    """Trips (day, uid, tid, points) -> pairs (day, a_uid, a_tid, b_uid, b_tid) of different users and one day that ``rides`` can accept.
+
+    Both ends of b lie in cells within space_m / 2 of a's way. A segment of a without length
+    is at every place; as b boards on an earlier segment than it leaves, its start still lies
+    near a real one, and only its end may then be anywhere.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            arrays = [as_array(p) for p in pdf["points"]]
+            out = pdf[["day", "uid", "tid"]].copy()
+            out["c0"], out["c1"] = [cell_of(x[0], space_m / 2) for x in arrays], [cell_of(x[-1], space_m / 2) for x in arrays]
+            out["anywhere"] = [bool((((x[1:, :2] - x[:-1, :2]) ** 2).sum(1) == 0).any()) for x in arrays]
+            out["cells"] = [way_cells(x, space_m / 2) for x in arrays]
+            yield out
+
+    t = ways.select("day", "uid", "tid", "points").mapInPandas(run, "day long, uid long, tid long, c0 long, c1 long, anywhere boolean, cells array<long>")
+    taken = t.select("day", F.col("uid").alias("a_uid"), F.col("tid").alias("a_tid"), "anywhere", F.explode("cells").alias("c"))
+    b = t.select("day", F.col("uid").alias("b_uid"), F.col("tid").alias("b_tid"), F.col("c0").alias("c"), "c1")
+    start = taken.join(b, ["day", "c"]).where("a_uid <> b_uid").drop("c")
+    end = start.where("not anywhere").join(taken.select("a_uid", "a_tid", F.col("c").alias("c1")), ["a_uid", "a_tid", "c1"], "left_semi")
+    keys = ("day", "a_uid", "a_tid", "b_uid", "b_tid")
+    return end.select(*keys).union(start.where("anywhere").select(*keys))
+
+
 MATCH = "pick_up_m double, drop_off_m double, pick_up_s double, drop_off_s double, ride_s double, start_together boolean, end_together boolean"
 
 
