@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from wayloom.llm import chunk_fingerprint, context_mixing, jaccard_join, line_dedup, oracles, pii_tagger, quality_rules, queries, sentencepiece_codec, source_mix, suffix_dedup, url_rules
 from wayloom.llm.shingles import shingle_set
@@ -199,3 +200,14 @@ def test_urls(spark):
     assert (got[84].host, got[84].path, got[84].rule) == ("www.example.com", "/en/", "www.example.com/en/")
     # Brute force: every mined rule that fits, by its tokens.
     assert got[0].mined and set(got[0].mined.split()) <= {"p:buy", "p:0", "h:a0", "h:example", "h:org"}
+
+
+def test_rules_of_labels_that_say_nothing(spark):
+    # Every label is as a host rule says; p:buy is the one token that blocked and allowed URLs do not share.
+    urls = [f"http://{h}{i % 3}.example.{t}/{p}/{i}" for t, p in (("net", "fr"), ("com", "en"), ("com", "de")) for h in "ab" for i in range(20)]
+    urls += [f"http://a{i % 3}.example.net/es/buy/{i}" for i in range(60)] + ["http://once.example.net/es/7"] * 2
+    ask = {"http://a0.example.net/de/1": None, "http://b1.example.org/en/2": None, "http://c.example.org/fr/3": None, "http://once.example.org/4": None, "http://c.example.org/buy/5": "p:buy"}
+    got = url_rules.judge(spark.createDataFrame(list(enumerate([*urls, *ask])), "page_id long, url string")).where(F.col("page_id") >= len(urls))
+    assert {r.url: (r.mined, r.verdict) for r in got.collect()} == {u: (m, "block" if m else "allow") for u, m in ask.items()}
+    few = spark.createDataFrame(list(enumerate(["http://a.net/es/buy", "http://b.org/buy"])), "page_id long, url string")
+    assert [r.verdict for r in url_rules.judge(few).orderBy("page_id").collect()] == ["block", "allow"]
