@@ -46,7 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram jaccard join", near_duplicates), ("source mix", mix), ("sentencepiece", tokens)]
 
-#: SQL has no SentencePiece encoding and no seeded knapsack; the stages are tested against brute force.
+#: SQL has no SentencePiece encoding and no seeded knapsack. The first three stages together are tested against brute force, of the last two only that they return kept documents.
 ORACLE_SQL = None
 
 
