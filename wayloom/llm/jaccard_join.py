@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, materialize
 from .components import components
-from .shingles import shingle_set
+from .shingles import shingle_sets
 
 NO_ID = -(2**63)
 #: Points that one task joins in memory, points a pivot of a larger family stands for, and points compared outright.
@@ -61,8 +61,7 @@ def _sketch(shingle: int, pct: int):
             ids, marks, texts = batch.column(0), batch.column(1), batch.column(2)
             for lo in range(0, len(ids), 500):
                 n, a, need, pivots = [], [], [], []
-                for t in texts[lo : lo + 500].to_pylist():
-                    s = shingle_set(t, shingle)
+                for s in shingle_sets(texts[lo : lo + 500], shingle):
                     n.append(len(s))
                     a.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
                     need.append(reach(-(-pct * len(s) // 100), pct)[1] if len(s) else 0)
@@ -79,7 +78,7 @@ def _sets(shingle: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                sets = [shingle_set(t, shingle).tobytes() for t in part.column(1).to_pylist()]
+                sets = [s.tobytes() for s in shingle_sets(part.column(1), shingle)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["a", "s"])
 
     return run

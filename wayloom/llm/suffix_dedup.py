@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .shingles import mixed
+from .shingles import mixed, powers
 from .suffix_array import suffix_array
 
 LENGTH, GRAM, CELL = 200, 80, 16
@@ -41,19 +41,6 @@ WIDTH = LENGTH - GRAM + 1
 PLACE = 24
 #: Cells that one suffix array is built of, unless a single gram has more.
 CELLS = 60_000
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        m = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(m, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +48,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    up, down = _powers(n + 1)
+    up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     grams = mixed((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
