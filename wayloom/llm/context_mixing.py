@@ -1,23 +1,29 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
 A byte is predicted bit by bit. For each context (the last 0 to 5 bytes; the word so
-far, up to 5 bytes) it and the bits of this byte so far are hashed to a slot that
-counts zeros and ones. The contexts' stretched probabilities are combined by weights
-that are gated by the bit's place and by the longest context that was seen before; the
+far) it and the bits of this byte so far are hashed to a slot that counts zeros and
+ones. The contexts' stretched probabilities are combined by weights that are gated by
+the bit's place, by how much of the word is there and by how often it was seen; the
 mix is refined by an adaptive map from (bits so far, mixed probability) to the rate of
 ones found there.
 
-All that a prediction depends on is six bytes: five before, and the byte itself. So
-the corpus is gathered as counts of its distinct six-byte windows, which grow with
-it. Slots are summed over all of them. Weights are trained online, in small batches of
-windows, each predicted as if it had not been counted; shards start from common weights
-and are averaged by what they saw, twice. The map is then filled the same way. Scoring
-computes each distinct window of a block once.
+1. *Windows.* The first five bytes of a word, and white space, depend on six bytes:
+   five before, and the byte itself. The corpus is gathered as counts of its distinct
+   six-byte windows in shards by the three bytes before, as many as its tokens need.
+   The contexts of bytes are counted in hashed tables of a fixed size, which go to all tasks.
+2. *Words.* Later bytes of a word, and the byte after it, also depend on the whole word
+   so far. Their counts are exact, grow with the corpus and are never sent around:
+   distinct words (with the byte after them) meet by their first five bytes, sorted into
+   chunks, and each gets the log probability of its later bytes once.
+3. Weights are trained online, in small batches of places in random order, each predicted
+   as if it had not been counted; shards and chunks start from common weights and are
+   averaged by what they saw, twice. The second pass also fills the map, with what was
+   predicted before each step. All sums are whole numbers, so that reruns agree.
 
 Texts are lower-cased (A-Z) and end in a byte that UTF-8 does not have; probabilities
 are those of the whole text with that end. The baseline is a smoothed unigram model of
 words and ends. Words so frequent that at most ``HEAD`` of them can exist are sent to all
-tasks; the others' counts are joined.
+tasks; the others' counts and log probabilities are joined.
 
 Defined results: null texts are empty; a null doc_id belongs to training; repeated rows
 count each time and are each scored; without training rows all predictors say one half
@@ -26,9 +32,10 @@ and every token is unknown; an empty table gives an empty table; other columns a
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .sentencepiece_codec import text_blocks
-from .shingles import mixed
+from .shingles import mixed, powers
 
 #: Bytes of each context (8: the word so far), and its slots as powers of two; the first two need no hashing.
 CONTEXTS = (0, 1, 2, 3, 4, 5, 8)
@@ -47,10 +54,17 @@ SLOTS = (8, 16, 19, 20, 22, 22, 22)
 BACK = 5
 ORDERS = len(SLOTS)
 END = 0xFF
-SHARDS = 64
+#: Training tokens a shard of windows stands for, and bytes of units that a task joins at a time.
+SHARD, CHUNK_BYTES = 500_000, 400_000
 HEAD = 200_000
-PRIOR, RATE, BATCH, PASSES = 0.4, 0.05, 512, 2
-GATES = ORDERS * 8
+PRIOR, RATE, BATCH, PASSES = 0.05, 0.1, 256, 2
+#: Gates: how long the word so far is and how often it was seen; for later bytes how often, or the longest context if never; times the bit's place.
+LEVELS = np.array([1, 2, 4, 8, 24, 100])
+OFTEN = len(LEVELS) + 1
+GATES = BACK * OFTEN * 8
+#: Steps of the refining map, its entries, and the fixed point that sums are kept in.
+STEPS, MAP, UNIT = 37, 256 * 37 + 1, 1 << 10
+LN10 = float(np.log(10))
 #: Windows whose scores a task remembers before it starts anew.
 MEMORY = 1_500_000
 CHUNK = 1 << 16
@@ -82,21 +96,30 @@ def word_so_far(ctx: np.ndarray) -> np.ndarray:
     return out
 
 
-def slots(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def nodes(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, 8): the bits of each byte so far behind a leading one, and the bits."""
+    byte, shifts = byte.astype(np.int64), np.arange(8, 0, -1)
+    return ((byte[:, None] | 256) >> shifts).astype(np.uint64), ((byte[:, None] >> (shifts - 1)) & 1).astype(bool)
+
+
+def hashed(ctx: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    return ((mixed(ctx)[:, None] ^ (node * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
+
+
+def slots(w: np.ndarray, orders: Iterable[int] = range(ORDERS)) -> tuple[np.ndarray, np.ndarray]:
     """(orders, windows, 8) slot numbers, and the (windows, 8) bits."""
-    byte = (w & np.uint64(255)).astype(np.int64)
-    shifts = np.arange(8, 0, -1)
-    node = ((byte[:, None] | 256) >> shifts).astype(np.uint64)
-    bits = (byte[:, None] >> (shifts - 1)) & 1
-    out = np.empty((ORDERS, len(w), 8), np.uint32)
-    out[0] = node
-    out[1] = ((w >> np.uint64(8) & np.uint64(255))[:, None] << np.uint64(8)) | node
-    for k in range(2, ORDERS):
-        ctx = w >> np.uint64(8)
-        ctx = word_so_far(ctx) if CONTEXTS[k] > BACK else ctx & np.uint64((1 << 8 * CONTEXTS[k]) - 1)
-        h = mixed(ctx * np.uint64(256) + np.uint64(k))[:, None] ^ (node * np.uint64(0x9E3779B97F4A7C15))
-        out[k] = (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOTS[k])
-    return out, bits.astype(bool)
+    node, bits = nodes(w & np.uint64(255))
+    before = w >> np.uint64(8)
+    out = np.empty((len(orders), len(w), 8), np.uint32)
+    for i, k in enumerate(orders):
+        if k == 0:
+            out[i] = node
+        elif k == 1:
+            out[i] = ((before & np.uint64(255))[:, None] << np.uint64(8)) | node
+        else:
+            ctx = word_so_far(before) if CONTEXTS[k] > BACK else before & np.uint64((1 << 8 * CONTEXTS[k]) - 1)
+            out[i] = hashed(ctx * np.uint64(256) + np.uint64(k), node, SLOTS[k])
+    return out, bits
 
 
 def merged(w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,37 +127,40 @@ def merged(w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return uniq, np.bincount(codes, n, len(uniq)).astype(np.int64)
 
 
-def shard_of(w: np.ndarray) -> np.ndarray:
+def shard_of(w: np.ndarray, shards: int) -> np.ndarray:
     """By the three bytes before, so that longer contexts stay whole."""
-    return (mixed((w >> np.uint64(8)) & np.uint64(0xFFFFFF)) >> np.uint64(58)).astype(np.int64) % SHARDS
+    return (mixed((w >> np.uint64(8)) & np.uint64(0xFFFFFF)) >> np.uint64(33)).astype(np.int64) % shards
 
 
 def lowered(column: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass").lower() for t in column.to_pylist()]
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(shards: int):
     """Texts -> windows with counts, by shard."""
-    w, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def rows() -> pa.RecordBatch:
-        order = np.argsort(shard := shard_of(w), kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(SHARDS + 1))
-        own = [order[cut[k] : cut[k + 1]] for k in range(SHARDS)]
-        full = [k for k in range(SHARDS) if len(own[k])]
+    def rows(w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(shard := shard_of(w, shards), kind="stable")
+        cut = np.searchsorted(shard[order], np.arange(shards + 1))
+        own = [order[cut[k] : cut[k + 1]] for k in range(shards)]
+        full = [k for k in range(shards) if len(own[k])]
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([w[own[k]].tobytes() for k in full], pa.binary()), pa.array([n[own[k]].tobytes() for k in full], pa.binary())], names=["shard", "w", "n"])
 
-    for batch in batches:
-        texts = lowered(batch.column(0))
-        for lo, hi in text_blocks(texts, 4_000_000):
-            more, _ = windows(texts[lo:hi])
-            u, m = merged(more, np.ones(len(more)))
-            w, n = merged(np.concatenate([w, u]), np.concatenate([n, m]))
-            if len(w) > 2_000_000:
-                yield rows()
-                w, n = w[:0], n[:0]
-    if len(w):
-        yield rows()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            texts = lowered(batch.column(0))
+            for lo, hi in text_blocks(texts, 2_000_000):
+                more, _ = windows(texts[lo:hi])
+                u, m = merged(more, np.ones(len(more)))
+                w, n = merged(np.concatenate([w, u]), np.concatenate([n, m]))
+                if len(w) > 1_000_000:
+                    yield rows(w, n)
+                    w, n = w[:0], n[:0]
+        if len(w):
+            yield rows(w, n)
+
+    return run
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -170,24 +196,27 @@ def _join_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows -> (order, chunk) with the slots found, and their zeros and ones."""
+    """Windows -> (order, chunk) with the slots found, and their zeros and ones; one context at a time."""
     for batch in batches:
         for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             w, n = np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)
-            sums = [np.zeros((2, 1 << s)) for s in SLOTS]
-            for lo in range(0, len(w), 100_000):
-                s, bits = slots(w[lo : lo + 100_000])
-                times = np.repeat(n[lo : lo + 100_000, None], 8, 1)
-                for k in range(ORDERS):
-                    for y in (0, 1):
-                        sums[k][y] += np.bincount(s[k][bits == y], times[bits == y], 1 << SLOTS[k])
             for k in range(ORDERS):
-                found = np.flatnonzero(sums[k].any(0))
+                found, sums = np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
+                for lo in range(0, len(w), 200_000):
+                    s, bits = slots(w[lo : lo + 200_000], (k,))
+                    codes, own = pd.factorize(s[0].ravel())
+                    times, ones = np.repeat(n[lo : lo + 200_000], 8).astype(np.float64), bits.ravel()
+                    part = np.stack([np.bincount(codes, times * (ones == y), len(own)) for y in (0, 1)]).astype(np.int64)
+                    codes, every = pd.factorize(np.concatenate([found, own.astype(np.int64)]))
+                    both = np.concatenate([sums, part], 1)
+                    found, sums = every, np.stack([np.bincount(codes, both[y], len(every)) for y in (0, 1)]).astype(np.int64)
+                order = np.argsort(found)
+                found, sums = found[order], sums[:, order]
                 cut = np.searchsorted(found, np.arange(0, (1 << SLOTS[k]) + CHUNK, CHUNK))
                 for c in range(len(cut) - 1):
-                    own = found[cut[c] : cut[c + 1]]
-                    if len(own):
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c], pa.int32()), pa.array([(own % CHUNK).astype(np.uint16).tobytes()]), pa.array([sums[k][:, own].astype(np.int64).tobytes()])], names=["k", "chunk", "at", "n"])
+                    own = slice(cut[c], cut[c + 1])
+                    if cut[c] < cut[c + 1]:
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c], pa.int32()), pa.array([(found[own] % CHUNK).astype(np.uint16).tobytes()]), pa.array([sums[:, own].tobytes()])], names=["k", "chunk", "at", "n"])
 
 
 def _join_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,99 +230,177 @@ def _join_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunk], pa.int32()), pa.array([zlib.compress(small.tobytes(), 1)])], names=["k", "chunk", "n"])
 
 
-class Tables:
-    """Slot counts, gated weights and the refining map."""
-
-    def __init__(self, counts: list[np.ndarray]):
-        self.counts = counts  # by context, slots of 16 bits of zeros below 16 of ones
-        self.weights = np.full((GATES, ORDERS), 0.25)
-        self.map = None
-        self.known = (np.zeros(0, np.uint64), np.zeros(0))
+class Mixer:
+    """Weights by gate, and the refining map from (bits so far, mixed probability) to the rate of ones."""
 
-    def inputs(self, s: np.ndarray, bits: np.ndarray, unseen: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(orders, n, 8) stretched probabilities, (n, 8) gates; unseen: without the window itself, once."""
-        x = np.empty(s.shape, np.float32)
-        top = np.zeros(bits.shape, np.int64)
-        for k in range(ORDERS):
-            n = self.counts[k][s[k]]
-            n0, n1 = n & np.uint32(0xFFFF), n >> np.uint32(16)
-            if unseen:
-                n0 = n0 - ((~bits) & (n0 > 0))
-                n1 = n1 - (bits & (n1 > 0))
-            x[k] = LOG[n1] - LOG[n0]
-            top[(n0 | n1) > 0] = k
-        return x, top * 8 + np.arange(8)
+    def __init__(self):
+        self.weights, self.map = np.full((GATES, ORDERS), 0.15), None
+        self.weights[:, -1] = 0.6
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("knb,nbk->nb", x, self.weights.astype(np.float32)[gate]), -11, 11)
 
-    def places(self, s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, node: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The map's lower entry for (bits so far, t), and how far t lies towards the next."""
         u = (t + 12) * 1.5
         low = u.astype(np.int64)
-        return s[0].astype(np.int64) * 37 + low, u - low
+        return node.astype(np.int64) * STEPS + low, u - low
+
+    def log_p(self, x: np.ndarray, gate: np.ndarray, node: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Natural log probability of each byte."""
+        t = self.mix(x, gate)
+        p = 1 / (1 + np.exp(-t))
+        if self.map is not None:
+            at, far = self.places(node, t)
+            p = 0.5 * p + 0.5 * ((1 - far) * self.map[at] + far * self.map[at + 1])
+        p = np.clip(p, 1e-5, 1 - 1e-5)
+        return np.log(np.where(bits, p, 1 - p)).sum(1)
+
+
+class Learner:
+    """One online pass of a mixer over parts of the training text; what it saw is summed in whole numbers, so that order and tasks don't matter."""
+
+    def __init__(self, start: Mixer, fill: bool):
+        self.start, self.fill = start, fill
+        self.total = np.zeros(GATES * (ORDERS + 1) + 2 * MAP, np.int64)
+
+    def learn(self, inputs, n: np.ndarray, seed: int) -> None:
+        """inputs: chosen places -> (x, gates, nodes, bits), each as if it had not been counted. Places come in random order."""
+        m, seen, speed = Mixer(), np.zeros(GATES), np.full((GATES, ORDERS), 1e-4)
+        m.weights = self.start.weights
+        sums = np.zeros((2, MAP))
+        order = np.random.RandomState(seed % (1 << 32)).permutation(len(n))
+        for far_lo in range(0, len(order), 50 * BATCH):
+            block = order[far_lo : far_lo + 50 * BATCH]
+            every = inputs(block)
+            for lo in range(0, len(block), BATCH):
+                own = slice(lo, lo + BATCH)
+                x, gate, node, bits = every[0][:, own], *(e[own] for e in every[1:])
+                mix = m.mix(x, gate)
+                times = np.broadcast_to(n[block[own], None], bits.shape).astype(np.float64)
+                if self.fill:
+                    at, far = m.places(node, mix)
+                    for move, part in ((0, 1 - far), (1, far)):
+                        sums[1] += np.bincount((at + move).ravel(), (times * part).ravel(), MAP)
+                        sums[0] += np.bincount((at + move).ravel(), (times * part * bits).ravel(), MAP)
+                err = (bits - 1 / (1 + np.exp(-mix))) * times
+                mass = np.bincount(gate.ravel(), times.ravel(), GATES)
+                grad = np.stack([np.bincount(gate.ravel(), (err * x[k]).ravel(), GATES) for k in range(ORDERS)], 1) / np.maximum(mass, 1)[:, None]
+                speed += grad**2
+                m.weights = m.weights + RATE * grad / np.sqrt(speed)
+                seen += mass
+        self.total += np.round(np.concatenate([(m.weights * seen[:, None]).ravel(), seen, sums.ravel()]) * UNIT).astype(np.int64)
+
+    def rows(self) -> pa.RecordBatch:
+        at = np.flatnonzero(self.total)
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(self.total[at], pa.int64())], names=["i", "v"])
+
+
+def learned(rows: DataFrame, start: Mixer) -> Mixer:
+    """The mixer that the sums of all tasks make; their number is fixed."""
+    total = np.zeros(GATES * (ORDERS + 1) + 2 * MAP)
+    for i, v in rows.groupBy("i").agg(F.sum("v").alias("v")).collect():
+        total[i] = v / UNIT
+    seen = total[GATES * ORDERS : GATES * (ORDERS + 1), None]
+    out = Mixer()
+    out.weights = np.where(seen > 0, total[: GATES * ORDERS].reshape(GATES, ORDERS) / np.maximum(seen, 1e-9), start.weights)
+    ones, all_ = total[GATES * (ORDERS + 1) :].reshape(2, -1)
+    if all_.any():
+        # Rates of ones, drawn towards the probability itself where little was seen.
+        own = 1 / (1 + np.exp(-(np.arange(MAP) % STEPS / 1.5 - 12)))
+        out.map = ((ones + 4 * own) / (all_ + 4)).astype(np.float32)
+    return out
 
-    def log_p(self, w: np.ndarray) -> np.ndarray:
-        """Natural log probability of each window's byte."""
+
+def stretched(n0: np.ndarray, n1: np.ndarray, bits: np.ndarray, unseen: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Stretched probability of a one, and how often the slot was seen; unseen: without the bit itself, once."""
+    if unseen:
+        n0 = n0 - ((~bits) & (n0 > 0))
+        n1 = n1 - (bits & (n1 > 0))
+    return LOG[np.minimum(n1, 65535)] - LOG[np.minimum(n0, 65535)], n0 + n1
+
+
+class Tables:
+    """Slot counts by context, 16 bits of zeros below 16 of ones; and the scores of windows met before."""
+
+    def __init__(self, counts: list[np.ndarray]):
+        self.counts = counts
+        self.known = (np.zeros(0, np.uint64), np.zeros(0))
+
+    def inputs(self, w: np.ndarray, unseen: bool, orders: Iterable[int] = range(ORDERS)) -> tuple[np.ndarray, ...]:
+        """(orders, n, 8) stretched probabilities, (n, 8) gates, nodes and bits of windows."""
+        s, bits = slots(w, orders)
+        x, top = np.zeros((ORDERS, *bits.shape), np.float32), np.zeros(bits.shape, np.int64)
+        for i, k in enumerate(orders):
+            n = self.counts[k][s[i]]
+            x[k], seen = stretched(n & np.uint32(0xFFFF), n >> np.uint32(16), bits, unseen)
+            top[seen > 0] = k
+        if len(orders) == ORDERS:  # the last context is the word so far
+            top = so_far(w)[:, None] * OFTEN + np.searchsorted(LEVELS, seen, side="right")
+        return x, top * 8 + np.arange(8), s[0], bits
+
+    def log_p(self, mixer: Mixer, w: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *[mixer.log_p(*self.inputs(w[lo : lo + 50_000], False)) for lo in range(0, len(w), 50_000)]])
+
+    def remembered(self, mixer: Mixer, w: np.ndarray) -> np.ndarray:
+        """log_p of distinct windows; those of the blocks before are looked up."""
+        order = np.argsort(w)
+        w, (old, value) = w[order], self.known
+        at = np.minimum(np.searchsorted(old, w), max(len(old) - 1, 0))
+        hit = old[at] == w if len(old) else np.zeros(len(w), bool)
+        p = np.empty(len(w))
+        p[hit] = value[at[hit]]
+        p[~hit] = fresh = self.log_p(mixer, w[~hit])
+        if len(old) + len(fresh) > MEMORY:
+            self.known = (w, p)
+        else:
+            both, values = np.concatenate([old, w[~hit]]), np.concatenate([value, fresh])
+            by = np.argsort(both, kind="stable")
+            self.known = (both[by], values[by])
         out = np.empty(len(w))
-        for lo in range(0, len(w), 50_000):
-            s, bits = slots(w[lo : lo + 50_000])
-            x, gate = self.inputs(s, bits, False)
-            t = self.mix(x, gate)
-            p = 1 / (1 + np.exp(-t))
-            if self.map is not None:
-                at, far = self.places(s, t)
-                p = 0.5 * p + 0.5 * ((1 - far) * self.map[at] + far * self.map[at + 1])
-            p = np.clip(p, 1e-5, 1 - 1e-5)
-            out[lo : lo + 50_000] = np.log(np.where(bits, p, 1 - p)).sum(1)
+        out[order] = p
         return out
 
 
-def remembered(t: Tables, w: np.ndarray) -> np.ndarray:
-    """log_p of distinct windows; those of the blocks before are looked up."""
-    order = np.argsort(w)
-    w, (old, value) = w[order], t.known
-    at = np.minimum(np.searchsorted(old, w), max(len(old) - 1, 0))
-    hit = old[at] == w if len(old) else np.zeros(len(w), bool)
-    p = np.empty(len(w))
-    p[hit] = value[at[hit]]
-    p[~hit] = fresh = t.log_p(w[~hit])
-    if len(old) + len(fresh) > MEMORY:
-        t.known = (w, p)
-    else:
-        both, values = np.concatenate([old, w[~hit]]), np.concatenate([value, fresh])
-        by = np.argsort(both, kind="stable")
-        t.known = (both[by], values[by])
-    out = np.empty(len(w))
-    out[order] = p
+def so_far(w: np.ndarray) -> np.ndarray:
+    """How many bytes of the word come before the window's byte, up to BACK; the start of a text counts as white space."""
+    out, open_ = np.zeros(len(w), np.int64), np.ones(len(w), bool)
+    for j in range(1, BACK + 1):
+        b = (w >> np.uint64(8 * j)) & np.uint64(255)
+        open_ &= (b != 0) & (b != 32) & ((b < 9) | (b > 13))
+        out += open_
     return out
 
 
-def online(t: Tables, w: np.ndarray, n: np.ndarray, seed: int, fill: bool) -> np.ndarray:
-    """One pass over windows in random order -> weights by what each gate saw, and that; or the sums of the map."""
-    order = np.random.RandomState(seed).permutation(len(w))
-    seen, speed = np.zeros(GATES), np.full((GATES, ORDERS), 1e-4)
-    ones, all_ = np.zeros(256 * 37 + 1), np.zeros(256 * 37 + 1)
-    step = 50_000 if fill else BATCH
-    for lo in range(0, len(order), step):
-        pick = order[lo : lo + step]
-        s, bits = slots(w[pick])
-        x, gate = t.inputs(s, bits, True)
-        mix = t.mix(x, gate)
-        times = np.broadcast_to(n[pick, None], bits.shape).astype(np.float64)
-        if fill:
-            at, far = t.places(s, mix)
-            for move, part in ((0, 1 - far), (1, far)):
-                all_ += np.bincount((at + move).ravel(), (times * part).ravel(), len(all_))
-                ones += np.bincount((at + move).ravel(), (times * part * bits).ravel(), len(ones))
-            continue
-        err = (bits - 1 / (1 + np.exp(-mix))) * times
-        mass = np.bincount(gate.ravel(), times.ravel(), GATES)
-        grad = np.stack([np.bincount(gate.ravel(), (err * x[k]).ravel(), GATES) for k in range(ORDERS)], 1) / np.maximum(mass, 1)[:, None]
-        speed += grad**2
-        t.weights = t.weights + RATE * grad / np.sqrt(speed)
-        seen += mass
-    return np.stack([ones, all_]) if fill else np.concatenate([t.weights * seen[:, None], seen[:, None]], 1)
+class Words:
+    """The later bytes of a run of sorted long units: where they are, and exact counts of the bits after each word so far."""
+
+    def __init__(self, data: bytes, sizes: np.ndarray, n: np.ndarray):
+        raw = np.frombuffer(data, np.uint8)
+        start = np.cumsum(sizes) - sizes
+        later = np.maximum(sizes - BACK, 0)
+        self.owner = np.repeat(np.arange(len(sizes)), later)
+        at = np.arange(len(self.owner)) - np.repeat(np.cumsum(later) - later, later) + BACK + start[self.owner]
+        self.n, w = n[self.owner], np.zeros(len(at), np.uint64)
+        for j in range(BACK + 1):
+            w |= raw[at - j].astype(np.uint64) << np.uint64(8 * j)
+        self.w = w
+        up, down = powers(len(raw) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
+        ctx = mixed((sums[at] - sums[start[self.owner]]) * down[start[self.owner]])
+        node, bits = nodes(w & np.uint64(255))
+        codes, found = pd.factorize((ctx[:, None] + node * np.uint64(0xD6E8FEB86659FD93)).ravel())
+        self.codes = codes.astype(np.int32).reshape(-1, 8)
+        times = np.repeat(self.n, 8).astype(np.float64)
+        self.counts = [np.bincount(codes, times * (bits.ravel() == y), len(found)).astype(np.int64) for y in (0, 1)]
+
+    def inputs(self, tables: Tables, pick: np.ndarray, unseen: bool) -> tuple[np.ndarray, ...]:
+        """As the tables', with the word so far in place of the last context, and gates by how often it was seen."""
+        x, gate, node, bits = tables.inputs(self.w[pick], unseen, range(ORDERS - 1))
+        c = self.codes[pick]
+        x[-1], seen = stretched(self.counts[0][c], self.counts[1][c], bits, unseen)
+        often = ORDERS - 2 + np.searchsorted(LEVELS, seen, side="right")
+        return x, np.where(seen > 0, often * 8 + np.arange(8), gate), node, bits
 
 
 _COUNTS: dict = {}
@@ -310,93 +417,167 @@ def unpacked(packed) -> list[np.ndarray]:
     return _COUNTS["counts"]
 
 
-def _train(counts, weights: np.ndarray, fill: bool):
+def _train_windows(counts, mixer: Mixer, fill: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(mixer, fill)
         for batch in batches:
             for shard, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = Tables(unpacked(counts))
-                t.weights = weights
-                x = online(t, np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64), shard, fill)
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([x.tobytes()])], names=["shard", "x"])
+                w, n = np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)
+                own = np.flatnonzero(so_far(w) < BACK)
+                learner.learn(lambda pick, t=Tables(unpacked(counts)), w=w[own]: t.inputs(w[pick], True), n[own], shard)
+        yield learner.rows()
 
     return run
 
 
-def refined(ones: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Rates of ones, drawn towards the probability itself where little was seen."""
-    start = 1 / (1 + np.exp(-(np.arange(len(ones)) % 37 / 1.5 - 12)))
-    return ((ones + 4 * start) / (seen + 4)).astype(np.float32)
+def _chunk_rows(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    for data, sizes, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        yield data, np.frombuffer(sizes, np.int64), np.frombuffer(n, np.int64)
 
 
-def train(texts: DataFrame) -> tuple:
-    """A model of the texts: broadcast slots, weights, map. The driver gets these only, and their sizes are fixed."""
+def _train_words(counts, mixer: Mixer, fill: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(mixer, fill)
+        for batch in batches:
+            for data, sizes, n in _chunk_rows(batch):
+                words, tables = Words(data, sizes, n), Tables(unpacked(counts))
+                own = np.flatnonzero(words.n)
+                learner.learn(lambda pick, words=words, t=tables, own=own: words.inputs(t, own[pick], True), words.n[own], zlib.crc32(data))
+        yield learner.rows()
+
+    return run
+
+
+def _score_words(model):
+    """Chunks -> units with the count of their word, the log probability of their later bytes, and whether they are the first of a known word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Tables(unpacked(model[0]))
+        for batch in batches:
+            for data, sizes, n in _chunk_rows(batch):
+                ends = np.cumsum(sizes)
+                units = [data[b - m : b] for b, m in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                words = Words(data, sizes, n)
+                tail = np.zeros(len(units))
+                for lo in range(0, len(words.w), 50_000):
+                    pick = np.arange(lo, min(lo + 50_000, len(words.w)))
+                    np.add.at(tail, words.owner[pick], model[2].log_p(*words.inputs(tables, pick, False)))
+                codes, _ = pd.factorize(pd.Series([word_of(u) for u in units]))
+                c = np.bincount(codes, n, codes.max() + 1).astype(np.int64)[codes]
+                lead = np.concatenate([[True], codes[1:] != codes[:-1]]) & (c > 0)
+                for lo in range(0, len(units), 10_000):
+                    own = slice(lo, lo + 10_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(units[own], pa.binary()), pa.array(n[own]), pa.array(c[own]), pa.array(tail[own]), pa.array(lead[own])], names=["unit", "n", "c", "tail", "lead"])
+
+    return run
+
+
+def train(texts: DataFrame, chunks: DataFrame, n_train: int) -> tuple:
+    """A model of the texts: broadcast slots, a mixer for windows, one for later bytes of words. The driver gets these only, and their sizes are fixed."""
     spark = texts.sparkSession
-    parts = min(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = texts.mapInArrow(_gather, "shard int, w binary, n binary")
-    shards = materialize(dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_join_shards, "shard int, w binary, n binary"))
-    sparse = shards.mapInArrow(_count_slots, "k int, chunk int, at binary, n binary")
+    shards = max(8, n_train // SHARD)
+    parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = texts.mapInArrow(_gather(shards), "shard int, w binary, n binary")
+    gathered = materialize(dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_join_shards, "shard int, w binary, n binary"))
+    sparse = gathered.mapInArrow(_count_slots, "k int, chunk int, at binary, n binary")
     dense = sparse.repartition(parts, "k", "chunk").sortWithinPartitions("k", "chunk").mapInArrow(_join_slots, "k int, chunk int, n binary")
-    packed = [(k, chunk, bytes(n)) for k, chunk, n in dense.collect()]
-    fixed = spark.sparkContext.broadcast(packed)
-    model = Tables([])
-    ordered = shards.repartition(parts, "shard")
-    for turn in range(PASSES + 1):
-        got = sorted((r.shard, r.x) for r in ordered.mapInArrow(_train(fixed, model.weights, turn == PASSES), "shard int, x binary").collect())
-        if not got:
-            break
-        if turn < PASSES:
-            x = sum(np.frombuffer(b).reshape(GATES, ORDERS + 1) for _, b in got)
-            model.weights = np.where(x[:, -1:] > 0, x[:, :-1] / np.maximum(x[:, -1:], 1), model.weights)
-        else:
-            ones, all_ = sum(np.frombuffer(b).reshape(2, -1) for _, b in got)
-            model.map = refined(ones, all_)
-    return fixed, model.weights, model.map
+    fixed = spark.sparkContext.broadcast([(k, chunk, bytes(n)) for k, chunk, n in dense.collect()])
+    heads, tails = Mixer(), Mixer()
+    if n_train:
+        dealt = gathered.repartition(parts, "shard")
+        for turn in range(PASSES):
+            fill = turn == PASSES - 1
+            heads = learned(dealt.mapInArrow(_train_windows(fixed, heads, fill), "i int, v long"), heads)
+            tails = learned(chunks.mapInArrow(_train_words(fixed, tails, fill), "i int, v long"), tails)
+    return fixed, heads, tails
+
 
+#: Long words with the byte after them, short words without it.
+UNITS = re.compile(rb"[^ \t-\r\xff]{%d,}.|[^ \t-\r\xff]{1,%d}(?=[ \t-\r\xff])" % (BACK, BACK - 1), re.S)
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: Counter[bytes] = Counter()
+
+def word_of(unit: bytes) -> bytes:
+    return unit[:-1] if len(unit) > BACK else unit
+
+
+def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(held out, text) -> units of all texts with their counts in training texts; the end is the empty unit."""
+    own: Counter[bytes] = Counter()
+    other: set[bytes] = set()
 
     def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["token", "n"])
+        rest = list(other.difference(own))
+        return pa.RecordBatch.from_arrays([pa.array([*own, *rest], pa.binary()), pa.array([*own.values(), *[0] * len(rest)], pa.int64())], names=["unit", "n"])
 
     for batch in batches:
-        for text in lowered(batch.column(0)):
-            total.update(text.split())
-            total[b""] += 1  # the end
-            if len(total) > 400_000:
+        for held, text in zip(batch.column(0).to_pylist(), lowered(batch.column(1)), strict=True):
+            found = UNITS.findall(text + b"\xff")
+            if held:
+                other.update(found)
+                other.add(b"")
+            else:
+                own.update(found)
+                own[b""] += 1
+            if len(own) + len(other) > 200_000:
                 yield rows()
-                total.clear()
-    if total:
+                own.clear()
+                other.clear()
+    if own or other:
         yield rows()
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted units -> chunks, cut where the first bytes change; longer runs of units with the same ones are cut between words."""
+    units: list[bytes] = []
+    counts: list[int] = []
+    size = 0
+
+    def row() -> pa.RecordBatch:
+        sizes = np.array([len(u) for u in units], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(units)], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.array([np.array(counts, np.int64).tobytes()], pa.binary())], names=["data", "sizes", "n"])
+
+    for batch in batches:
+        for u, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if size > CHUNK_BYTES and (u[:BACK] != units[-1][:BACK] or (size > 8 * CHUNK_BYTES and word_of(u) != word_of(units[-1]))):
+                yield row()
+                units, counts, size = [], [], 0
+            units.append(u)
+            counts.append(n)
+            size += len(u)
+    if units:
+        yield row()
+
+
 def _score(model, head, n_train: int, n_known: int):
     floor = n_train + 0.5 * (n_known + 1)
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())])))])
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.struct([("unit", pa.binary()), ("tf", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, counts = Tables(unpacked(model[0])), head.value
-        tables.weights, tables.map = model[1:]
-        logs = {t: float(np.log10((c + 0.5) / floor)) for t, c in counts.items()}
+        tables, frequent = Tables(unpacked(model[0])), head.value
+        logs = {u: (c > 0, float(np.log10((c + 0.5) / floor)), tail) for u, (c, tail) in frequent.items()}
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = lowered(batch.column(2))
-            for lo, hi in text_blocks(texts, 2_000_000):
+            for lo, hi in text_blocks(texts, 1_000_000):
                 own = texts[lo:hi]
                 w, starts = windows(own)
-                codes, uniq = pd.factorize(w)
-                sums = np.add.reduceat(remembered(tables, uniq)[codes], starts) / np.log(10)
-                tokens, known, base, tails = [], [], [], []
-                for t in own:
-                    tf = Counter(t.split())
-                    tf[b""] += 1
+                early = so_far(w) < BACK
+                codes, uniq = pd.factorize(w[early])
+                each = np.zeros(len(w))
+                each[early] = tables.remembered(model[1], uniq)[codes]
+                sums = np.add.reduceat(each, starts)
+                tokens, known, base, score, rest = [], [], [], [], []
+                for t, total in zip(own, sums.tolist(), strict=True):
+                    tf = Counter(UNITS.findall(t + b"\xff"))
+                    tf[b""] = 1
                     tokens.append(sum(tf.values()))
-                    found = tf.keys() & logs.keys()
-                    known.append(sum(tf[x] for x in found))
-                    base.append(sum(tf[x] * logs[x] for x in sorted(found)))
-                    tails.append([{"token": x, "tf": m} for x, m in tf.items() if x not in found])
+                    found = sorted(tf.keys() & logs.keys())
+                    known.append(sum(tf[x] for x in found if logs[x][0]))
+                    base.append(sum(tf[x] * logs[x][1] for x in found))
+                    score.append((total + sum(tf[x] * logs[x][2] for x in found)) / LN10)
+                    rest.append([{"unit": x, "tf": m} for x, m in tf.items() if x not in logs])
                 m = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + m)), batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(tokens, pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums), pa.array(tails, schema.field("tail").type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + m)), batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(tokens, pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rest, schema.field("tail").type)], schema=schema)
                 rid += m
 
     return run
@@ -407,18 +588,23 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     d = docs.select("doc_id", held.alias("held_out"), "text")
-    own = d.where("not held_out").select("text")
-    words = materialize(own.mapInArrow(_count_words, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    n_train, n_known = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
-    # At most HEAD words can have a HEAD-th of all tokens each.
-    head = spark.sparkContext.broadcast({bytes(r.token): r.n for r in words.where(F.col("n") * HEAD >= n_train).collect()})
-    model = train(own)
-    rows = materialize(d.mapInArrow(_score(model, head, n_train, n_known), "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, tail array<struct<token:binary,tf:long>>"))
-    tail = rows.select("rid", F.explode("tail").alias("x")).select("rid", "x.token", "x.tf")
-    each = tail.join(words, "token", "left").withColumn("c", F.coalesce("n", F.lit(0)))
+    counted = d.select("held_out", "text").mapInArrow(_count_units, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = F.substring("unit", 1, BACK)
+    chunks = materialize(counted.repartition(parts, first).sortWithinPartitions("unit").mapInArrow(_pack, "data binary, sizes binary, n binary"))
+    n_train = chunks.mapInArrow(_total, "n long").agg(F.sum("n")).first()[0] or 0
+    model = train(d.where("not held_out").select("text"), chunks, n_train)
+    words = materialize(chunks.mapInArrow(_score_words(model), "unit binary, n long, c long, tail double, lead boolean"))
+    n_known = words.where("lead").count()
+    # At most HEAD units can have a HEAD-th of all tokens each.
+    head = spark.sparkContext.broadcast({bytes(r.unit): (r.c, r.tail) for r in words.where(F.col("n") * HEAD > n_train).collect()})
+    rows = materialize(d.mapInArrow(_score(model, head, n_train, n_known), "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, tail array<struct<unit:binary,tf:long>>"))
+    tail = rows.select("rid", F.explode("tail").alias("x")).select("rid", "x.unit", "x.tf")
+    each = tail.join(words.select("unit", "c", F.col("tail").alias("late")), "unit")
     value = F.log10((F.col("c") + 0.5) / (n_train + 0.5 * (n_known + 1))) * F.col("tf")
-    rare = each.groupBy("rid").agg(F.sum(value).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("seen"))
-    return rows.drop("tail").join(rare, "rid", "left").select(
+    rare = each.groupBy("rid").agg(F.sum(value).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("seen"), F.sum(F.col("late") * F.col("tf")).alias("late"))
+    out = rows.drop("tail").join(rare, "rid", "left").withColumn("score", F.col("score") + F.coalesce("late", F.lit(0.0)) / LN10)
+    return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
@@ -426,3 +612,8 @@ def score(docs: DataFrame) -> DataFrame:
         "score", "n_bytes",
         (-F.col("score") * F.lit(float(np.log2(10))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(int(n.sum()) for _, _, n in _chunk_rows(batch))], pa.int64())], names=["n"])
