@@ -32,6 +32,7 @@ and every token is unknown; an empty table gives an empty table; other columns a
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -55,8 +56,8 @@ BACK = 5
 ORDERS = len(SLOTS)
 END = 0xFF
 #: Training tokens a shard of windows stands for, and bytes of units that a task joins at a time.
-SHARD, CHUNK_BYTES = 500_000, 400_000
-HEAD = 200_000
+SHARD, CHUNK_BYTES = 500_000, 300_000
+HEAD = 100_000
 PRIOR, RATE, BATCH, PASSES = 0.05, 0.1, 256, 2
 #: Gates: how long the word so far is and how often it was seen; for later bytes how often, or the longest context if never; times the bit's place.
 LEVELS = np.array([1, 2, 4, 8, 24, 100])
@@ -65,8 +66,8 @@ GATES = BACK * OFTEN * 8
 #: Steps of the refining map, its entries, and the fixed point that sums are kept in.
 STEPS, MAP, UNIT = 37, 256 * 37 + 1, 1 << 10
 LN10 = float(np.log(10))
-#: Windows whose scores a task remembers before it starts anew.
-MEMORY = 1_500_000
+#: Windows whose scores a task remembers, as a power of two.
+MEMORY = 21
 CHUNK = 1 << 16
 LOG = np.log(np.arange(1 << 16, dtype=np.float64) + PRIOR).astype(np.float32)
 
@@ -147,18 +148,18 @@ def _gather(shards: int):
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([w[own[k]].tobytes() for k in full], pa.binary()), pa.array([n[own[k]].tobytes() for k in full], pa.binary())], names=["shard", "w", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             texts = lowered(batch.column(0))
-            for lo, hi in text_blocks(texts, 2_000_000):
+            for lo, hi in text_blocks(texts, 1_000_000):
                 more, _ = windows(texts[lo:hi])
-                u, m = merged(more, np.ones(len(more)))
-                w, n = merged(np.concatenate([w, u]), np.concatenate([n, m]))
-                if len(w) > 1_000_000:
-                    yield rows(w, n)
-                    w, n = w[:0], n[:0]
-        if len(w):
-            yield rows(w, n)
+                held.append(merged(more, np.ones(len(more))))
+                if sum(len(x) for x, _ in held) > 1_500_000:
+                    held = [merged(*map(np.concatenate, zip(*held, strict=True)))]
+                    if len(held[0][0]) > 750_000:
+                        yield rows(*held.pop())
+        if held:
+            yield rows(*merged(*map(np.concatenate, zip(*held, strict=True))))
 
     return run
 
@@ -270,11 +271,12 @@ class Learner:
         m.weights = self.start.weights
         sums = np.zeros((2, MAP))
         order = np.random.RandomState(seed % (1 << 32)).permutation(len(n))
-        for far_lo in range(0, len(order), 50 * BATCH):
-            block = order[far_lo : far_lo + 50 * BATCH]
+        size = min(max(len(n) // 300, BATCH), 8 * BATCH)
+        for far_lo in range(0, len(order), 20 * size):
+            block = order[far_lo : far_lo + 20 * size]
             every = inputs(block)
-            for lo in range(0, len(block), BATCH):
-                own = slice(lo, lo + BATCH)
+            for lo in range(0, len(block), size):
+                own = slice(lo, lo + size)
                 x, gate, node, bits = every[0][:, own], *(e[own] for e in every[1:])
                 mix = m.mix(x, gate)
                 times = np.broadcast_to(n[block[own], None], bits.shape).astype(np.float64)
@@ -325,7 +327,7 @@ class Tables:
 
     def __init__(self, counts: list[np.ndarray]):
         self.counts = counts
-        self.known = (np.zeros(0, np.uint64), np.zeros(0))
+        self.known = None
 
     def inputs(self, w: np.ndarray, unseen: bool, orders: Iterable[int] = range(ORDERS)) -> tuple[np.ndarray, ...]:
         """(orders, n, 8) stretched probabilities, (n, 8) gates, nodes and bits of windows."""
@@ -343,22 +345,19 @@ class Tables:
         return np.concatenate([np.zeros(0), *[mixer.log_p(*self.inputs(w[lo : lo + 50_000], False)) for lo in range(0, len(w), 50_000)]])
 
     def remembered(self, mixer: Mixer, w: np.ndarray) -> np.ndarray:
-        """log_p of distinct windows; those of the blocks before are looked up."""
-        order = np.argsort(w)
-        w, (old, value) = w[order], self.known
-        at = np.minimum(np.searchsorted(old, w), max(len(old) - 1, 0))
-        hit = old[at] == w if len(old) else np.zeros(len(w), bool)
-        p = np.empty(len(w))
-        p[hit] = value[at[hit]]
-        p[~hit] = fresh = self.log_p(mixer, w[~hit])
-        if len(old) + len(fresh) > MEMORY:
-            self.known = (w, p)
-        else:
-            both, values = np.concatenate([old, w[~hit]]), np.concatenate([value, fresh])
-            by = np.argsort(both, kind="stable")
-            self.known = (both[by], values[by])
-        out = np.empty(len(w))
-        out[order] = p
+        """log_p of windows; what was computed lately is looked up, by the window itself."""
+        if self.known is None:
+            self.known = (np.full(1 << MEMORY, np.uint64(2**64 - 1)), np.zeros(1 << MEMORY, np.float32))
+        keys, values = self.known
+        place = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MEMORY)
+        at = place(w)
+        out = values[at].astype(np.float64)
+        miss = np.flatnonzero(keys[at] != w)
+        if len(miss):
+            codes, fresh = pd.factorize(w[miss])
+            p = self.log_p(mixer, fresh)
+            out[miss] = p[codes]
+            keys[place(fresh)], values[place(fresh)] = fresh, p
         return out
 
 
@@ -548,13 +547,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def _score(model, head, n_train: int, n_known: int):
-    floor = n_train + 0.5 * (n_known + 1)
+def _score(model, head):
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.struct([("unit", pa.binary()), ("tf", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, frequent = Tables(unpacked(model[0])), head.value
-        logs = {u: (c > 0, float(np.log10((c + 0.5) / floor)), tail) for u, (c, tail) in frequent.items()}
+        tables, logs = Tables(unpacked(model[0])), head.value
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = lowered(batch.column(2))
@@ -562,9 +559,8 @@ def _score(model, head, n_train: int, n_known: int):
                 own = texts[lo:hi]
                 w, starts = windows(own)
                 early = so_far(w) < BACK
-                codes, uniq = pd.factorize(w[early])
                 each = np.zeros(len(w))
-                each[early] = tables.remembered(model[1], uniq)[codes]
+                each[early] = tables.remembered(model[1], w[early])
                 sums = np.add.reduceat(each, starts)
                 tokens, known, base, score, rest = [], [], [], [], []
                 for t, total in zip(own, sums.tolist(), strict=True):
@@ -597,11 +593,12 @@ def score(docs: DataFrame) -> DataFrame:
     words = materialize(chunks.mapInArrow(_score_words(model), "unit binary, n long, c long, tail double, lead boolean"))
     n_known = words.where("lead").count()
     # At most HEAD units can have a HEAD-th of all tokens each.
-    head = spark.sparkContext.broadcast({bytes(r.unit): (r.c, r.tail) for r in words.where(F.col("n") * HEAD > n_train).collect()})
-    rows = materialize(d.mapInArrow(_score(model, head, n_train, n_known), "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, tail array<struct<unit:binary,tf:long>>"))
+    floor = n_train + 0.5 * (n_known + 1)
+    head = spark.sparkContext.broadcast({bytes(r.unit): (r.c > 0, math.log10((r.c + 0.5) / floor), r.tail) for r in words.where(F.col("n") * HEAD > n_train).select("unit", "c", "tail").collect()})
+    rows = materialize(d.mapInArrow(_score(model, head), "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, tail array<struct<unit:binary,tf:long>>"))
     tail = rows.select("rid", F.explode("tail").alias("x")).select("rid", "x.unit", "x.tf")
     each = tail.join(words.select("unit", "c", F.col("tail").alias("late")), "unit")
-    value = F.log10((F.col("c") + 0.5) / (n_train + 0.5 * (n_known + 1))) * F.col("tf")
+    value = F.log10((F.col("c") + 0.5) / floor) * F.col("tf")
     rare = each.groupBy("rid").agg(F.sum(value).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("seen"), F.sum(F.col("late") * F.col("tf")).alias("late"))
     out = rows.drop("tail").join(rare, "rid", "left").withColumn("score", F.col("score") + F.coalesce("late", F.lit(0.0)) / LN10)
     return out.select(
