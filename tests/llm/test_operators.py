@@ -154,6 +154,16 @@ def test_mix(docs):
         assert size == source_size and abs(target - taken) <= 3000
 
 
+@pytest.mark.parametrize("ids", [(1, 2), (None, None)])
+def test_mix_of_repeated_rows(spark, ids):
+    rows = [(ids[k % 2], f"a b {'c' if k % 2 else 'd'}", f"s{k % 2}") for k in range(2000)]
+    got = source_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert len(got) == 2000
+    for s in ("s0", "s1"):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 3 and {r.taken for r in own} <= {0, 3, 6, 9}
+
+
 def test_baseline_score(docs):
     import math
     import zlib

@@ -13,8 +13,8 @@ document, not with the number of documents. Documents of one length are dealt to
 hash buckets before they are ranked, so a very frequent length is no single group.
 
 Defined results: a null text has size 0; a null source is a source, last in order;
-documents of size 0 are taken zero words; rows equal in doc_id and text are taken
-together; an empty table gives an empty table; further
+documents of size 0 are taken zero words; rows equal in doc_id and text are documents
+of their own, of which any may be taken; an empty table gives an empty table; further
 columns pass through.
 """
 
@@ -110,30 +110,43 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(whole=whole, fit=fit)[["source", "size", "n", "source_size", "target", "whole", "fit"]]
 
 
+def cut(rows: DataFrame, bucket: str, order: str) -> DataFrame:
+    """(s, z, need, bucket, order) -> (s, z, last, rest): the value of ``order`` that holds the need-th row of (s, z), and the how manieth of its equals that is.
+
+    Buckets follow the order; only counts of them, and of the values of one of them, are sorted.
+    """
+    run = Window.partitionBy("s", "z").orderBy(bucket)
+    filled = rows.groupBy("s", "z", "need", bucket).agg(F.count("*").alias("m")).withColumn("before", F.sum("m").over(run) - F.col("m"))
+    edge = filled.where("before < need and before + m >= need").select("s", "z", bucket, (F.col("need") - F.col("before")).alias("left"))
+    values = rows.drop("need").join(edge, ["s", "z", bucket]).groupBy("s", "z", "left", order).agg(F.count("*").alias("m"))
+    each = values.withColumn("before", F.sum("m").over(Window.partitionBy("s", "z").orderBy(order)) - F.col("m"))
+    return each.where("before < left and before + m >= left").select("s", "z", F.col(order).alias("last"), (F.col("left") - F.col("before")).alias("rest"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = 3, seed: int = SEED) -> DataFrame:
     """The documents with ``size``, ``source_size``, ``target``, ``taken`` added (see the module)."""
     mark = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text")), 1)
-    d = docs.withColumns({"size": n_words(F.col("text")), "__mark": mark})
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    # Written once: texts are read and their words counted a single time, and a row keeps its number.
+    d = materialize(docs.drop("source_size", "target").withColumns({"size": n_words(F.col("text")), "__mark": mark, "__tie": F.monotonically_increasing_id(), "__s": key}))
     hist = d.groupBy("source", "size").agg(F.count("*").alias("n"))
     sources = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     h, g = hist.alias("h"), targets(sources, weights, max_repeat).alias("g")
     keyed = h.join(g, F.col("h.source").eqNullSafe(F.col("g.source"))).select("h.source", "h.size", "h.n", "g.source_size", "g.target")
     plan = keyed.groupBy("source").applyInPandas(_plan, "source string, size long, n long, source_size long, target double, whole long, fit long")
-    plan = materialize(plan).select(F.col("source").alias("s"), F.col("size").alias("z"), "n", "source_size", "target", "whole", "fit")
-    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
-    # Lengths taken in part: the seeded hashes are dealt to buckets in their order, and cut in the one that holds the boundary.
+    plan = materialize(plan).select(key.alias("s"), F.col("size").alias("z"), "n", "source_size", "target", "whole", "fit")
+    # Lengths taken in part: seeded hashes are cut where they hold the last document, and rows of equal ones by their numbers.
+    some = plan.where("fit > 0 and fit < n").select("s", "z", "n", F.col("fit").alias("need"))
     parts = F.ceil(F.col("n") / BUCKET).cast("long")
     part = F.floor(F.shiftright("__mark", 32) * parts / F.lit(float(1 << 31))).cast("long")
-    some = plan.where("fit > 0 and fit < n")
-    dealt = d.select("source", "size", "__mark").join(some, same).select("s", "z", "fit", "__mark", part.alias("part"))
-    run = Window.partitionBy("s", "z").orderBy("part")
-    filled = dealt.groupBy("s", "z", "part", "fit").agg(F.count("*").alias("m")).withColumn("before", F.sum("m").over(run) - F.col("m"))
-    edge = filled.where("before < fit and before + m >= fit").select(F.col("s").alias("s2"), F.col("z").alias("z2"), F.col("part").alias("part2"), (F.col("fit") - F.col("before")).alias("need"))
-    at_edge = dealt.join(edge, F.col("s").eqNullSafe(F.col("s2")) & (F.col("z") == F.col("z2")) & (F.col("part") == F.col("part2")))
-    rank = F.row_number().over(Window.partitionBy("s", "z").orderBy("__mark"))
-    last = at_edge.withColumn("k", rank).where("k = need").select("s2", "z2", F.col("__mark").alias("last"))
-    plan = plan.join(last, F.col("s").eqNullSafe(F.col("s2")) & (F.col("z") == F.col("z2")), "left").drop("s2", "z2")
-    names = {"s": "__s", "z": "__z", "n": "__n", "whole": "__whole", "fit": "__fit", "last": "__last"}
-    out = d.drop("source_size", "target").join(plan.withColumnsRenamed(names), F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")))
-    picked = F.when(F.col("__fit") >= F.col("__n"), True).otherwise(F.coalesce(F.col("__mark") <= F.col("__last"), F.lit(False))) & (F.col("__fit") > 0)
-    return out.withColumn("taken", F.col("size") * (F.col("__whole") + picked.cast("long"))).drop("__mark", *names.values())
+    dealt = d.select(F.col("__s").alias("s"), F.col("size").alias("z"), "__mark", "__tie").join(some, ["s", "z"]).withColumn("part", part)
+    last = materialize(cut(dealt.select("s", "z", "need", "part", "__mark"), "part", "__mark"))
+    equal = dealt.drop("need").join(last, ["s", "z"]).where("__mark = last")
+    rows = equal.select("s", "z", F.col("rest").alias("need"), F.shiftright("__tie", 33).alias("task"), "__tie")
+    final = cut(rows, "task", "__tie").select("s", "z", F.col("last").alias("tie"))
+    plan = plan.join(last.join(final, ["s", "z"]).select("s", "z", "last", "tie"), ["s", "z"], "left")
+    names = {"s": "__s", "z": "__z", "n": "__n", "whole": "__whole", "fit": "__fit", "last": "__last", "tie": "__last_tie"}
+    out = d.join(plan.withColumnsRenamed(names).withColumnRenamed("__s", "__k"), (F.col("__s") == F.col("__k")) & (F.col("size") == F.col("__z")))
+    first = (F.col("__mark") < F.col("__last")) | ((F.col("__mark") == F.col("__last")) & (F.col("__tie") <= F.col("__last_tie")))
+    picked = (F.col("__fit") > 0) & ((F.col("__fit") >= F.col("__n")) | F.coalesce(first, F.lit(False)))
+    return out.withColumn("taken", F.col("size") * (F.col("__whole") + picked.cast("long"))).drop("__mark", "__tie", "__k", *names.values())
