@@ -164,6 +164,40 @@ def test_mix_of_repeated_rows(spark, ids):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 3 and {r.taken for r in own} <= {0, 3, 6, 9}
 
 
+def test_lines_against_all_pairs(spark):
+    random.seed(9)
+    line = lambda n, k: " ".join(f"w{k}x{i}" for i in range(n))
+    pool = [line(random.choice([3, 5, 20, 25, 30, 60]), k) for k in range(12)]
+    w1, w2, y = line(25, 50), line(25, 51), line(20, 52)
+    texts = ["\n".join([w1, w2]), "\n".join([w1, w2, y]), "\n".join(["x", w1, w2, y])]
+    texts += ["\n".join(random.choice([*pool, ""]) for _ in range(random.randint(1, 14))) for _ in range(25)] + ["a b c\n" * 60, None, "", texts[1]]
+    rows = [*enumerate(texts), (None, texts[1]), (4, texts[4])]
+    docs = sorted({(-(2**63) if d is None else d, t) for d, t in rows if t is not None})
+    cut = [[x for x in t.split("\n") if x.split()] for _, t in docs]
+    gone = [set() for _ in docs]
+    for i in range(len(docs)):
+        for j in range(i + 1):
+            for shift in range(-len(cut[j]) + 1, len(cut[i])):
+                if i == j and shift <= 0:
+                    continue
+                run = []
+                for p in range(max(0, shift), len(cut[i]) + 1):
+                    if p < len(cut[i]) and 0 <= p - shift < len(cut[j]) and cut[i][p] == cut[j][p - shift]:
+                        run.append(p)
+                        continue
+                    if sum(len(cut[i][q].split()) for q in run) >= 50:
+                        gone[i].update(run)
+                    run = []
+    want = Counter()
+    for d, t in rows:
+        i = docs.index((-(2**63) if d is None else d, t)) if t is not None else None
+        want[(d, 0, 0, None) if i is None else (d, len(cut[i]), len(gone[i]), tuple(x for p, x in enumerate(cut[i]) if p not in gone[i]))] += 1
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    shown = lambda t: None if t is None else tuple(x for x in t.split("\n") if x.split())
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, shown(r.text)) for r in got) == want
+    assert next(r for r in got if r.doc_id == 2).n_removed == 3
+
+
 def test_baseline_score(docs):
     import math
     import zlib

@@ -1,16 +1,20 @@
 """Removal of repeated runs of lines, by winnowing over line hashes.
 
 Lines are the ``\\n``-split parts that hold a word; lines without words are never
-compared nor removed. The window of a line is the shortest run of lines from it on
-that holds ``min_words`` words. The least line hash of every window is selected as a
-fingerprint, so two equal runs of at least ``min_words`` words always share one.
-Windows whose fingerprint occurs at two positions or more are joined with the first
-occurrence of the same window (by doc_id, then text hash, then line); each such
-match is extended both ways, line by line, while the lines are equal. The matched
-lines of the later run are removed.
-
-Each window has one partner, its first occurrence, so a passage in a third of all
-documents gives one match a document and never a pair of them.
+compared nor removed. A run of at least ``min_words`` words that also starts at an
+earlier place (by doc_id, then text hash, then line) goes, whichever place that is.
+
+1. *Fingerprints.* The window of a line is the shortest run from it on that holds
+   ``min_words`` words; the least line hash of every window is selected, so two equal
+   runs of that many words always share one.
+2. *Positions.* Positions of equal fingerprints are brought together. Documents all of
+   whose fingerprints stand at a single position hold no repeated run and are left alone.
+3. *Extension.* In the others, windows are extended from a fingerprint found twice to
+   both sides and compared as a whole: from their first line to the right, and to the
+   left from their last. Equal ones meet, and all but the first go. Every line of a
+   repeated run lies in the window from the run's first line, or else more than a
+   window of the run ends with it, so that no pairs of occurrences are needed: a
+   passage in a third of all documents costs one row a line.
 
 Defined results: null texts hold no lines and stay null; rows equal in doc_id and
 text are one document and share its result; null doc_ids sort first; an empty table
@@ -36,50 +40,44 @@ def _worded(line: Column) -> Column:
     return line.rlike(f"[^{BLANK}]")
 
 
-def windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row per line: its hash, and its window's hash and fingerprint (null if the text ends before)."""
+def lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """A row per line: its hash, its words from c0 to c1, and its window's fingerprint (null if the text ends before)."""
     parts = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("at")))
     flat = docs.select(
         F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.filter(parts, lambda x: _worded(x["line"]))).alias("pos", "x")
     ).select("d", "t", "pos", F.col("x.at").alias("at"), _hash(F.col("x.line")).alias("h"), F.size(words_of(F.col("x.line"))).cast("long").alias("w"))
-    flat = flat.dropDuplicates(["d", "t", "pos"])
-    doc = Window.partitionBy("d", "t").orderBy("pos")
-    flat = flat.withColumn("c0", F.coalesce(F.sum("w").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # One exchange serves the removal of repeated rows and the windows.
+    flat = flat.repartition("d", "t").dropDuplicates(["d", "t", "pos"])
+    flat = flat.withColumn("c1", F.sum("w").over(Window.partitionBy("d", "t").orderBy("pos")))
     span = Window.partitionBy("d", "t").orderBy("c0").rangeBetween(0, min_words - 1)
-    full = F.sum("w").over(span) >= min_words
-    return flat.select(
-        "d", "t", "pos", "at", "h",
-        F.when(full, F.min(F.struct(F.col("h").alias("h"), F.col("pos").alias("at"))).over(span)).alias("fp"),
-        F.when(full, _hash(F.collect_list("h").over(span))).alias("wh"),
-    )
+    return flat.withColumn("c0", F.col("c1") - F.col("w")).select(
+        "d", "t", "pos", "at", "h", "c0", "c1", F.when(F.sum("w").over(span) >= min_words, F.min(F.struct(F.col("h").alias("h"), F.col("pos").alias("at"))).over(span)).alias("fp")
+    )
+
+
+def _later(windows: DataFrame, key: str) -> DataFrame:
+    """Of the windows that are equal to others, all but the first."""
+    here = F.struct("d", "t", "pos")
+    first = windows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return windows.join(first, key).where(F.col("first") != here)
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, t, gone): the indices of the ``\\n``-split parts removed from each document that loses any."""
-    w = materialize(windows(docs, min_words))
-    full = w.where("fp is not null")
-    # Fingerprints selected at one position only cannot stand for a repeated run.
-    marks = full.select("d", "t", F.col("fp.h").alias("fh"), F.col("fp.at").alias("at")).distinct()
-    twice = marks.groupBy("fh").count().where("count > 1").select("fh")
-    held = full.select("d", "t", "pos", "wh", F.col("fp.h").alias("fh")).join(twice, "fh", "left_semi")
-    here = F.struct("d", "t", "pos")
-    first = held.groupBy("wh").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = held.join(first, "wh").where(F.col("first") != here)
-    hits = materialize(hits.select("d", "t", "pos", F.col("first.d").alias("d2"), F.col("first.t").alias("t2"), (F.col("pos") - F.col("first.pos")).alias("shift")))
-    line = w.select("d", "t", "pos", "at", "h")
-    way = ["d", "t", "d2", "t2", "shift"]
-    equal = (
-        hits.select(*way).distinct()
-        .join(line, ["d", "t"])
-        .withColumn("pos2", F.col("pos") - F.col("shift"))
-        .join(line.select(F.col("d").alias("d2"), F.col("t").alias("t2"), F.col("pos").alias("pos2"), F.col("h").alias("h2")), ["d2", "t2", "pos2"])
-        .where("h = h2")
-        .join(hits.withColumn("hit", F.lit(1)), [*way, "pos"], "left")
-    )
-    run = F.col("pos") - F.row_number().over(Window.partitionBy(*way).orderBy("pos"))
-    runs = equal.select(*way, "at", "hit", run.alias("run"))
-    matched = runs.withColumn("any", F.max("hit").over(Window.partitionBy(*way, "run"))).where("any = 1")
-    return matched.groupBy("d", "t").agg(F.collect_set("at").alias("gone"))
+    every = materialize(lines(docs, min_words))
+    full = every.where("fp is not null").select("d", "t", F.col("fp.h").alias("fh"), F.col("fp.at").alias("at"))
+    twice = full.distinct().groupBy("fh").count().where("count > 1").select("fh")
+    active = full.join(twice, "fh", "left_semi").select("d", "t").distinct()
+    doc = Window.partitionBy("d", "t")
+    right, left = doc.orderBy("c0").rangeBetween(0, min_words - 1), doc.orderBy("c1").rangeBetween(-(min_words - 1), 0)
+    whole = lambda span: F.when(F.max("c1").over(span) - F.min("c0").over(span) >= min_words, _hash(F.collect_list("h").over(span)))
+    held = materialize(every.join(active, ["d", "t"], "left_semi").select("d", "t", "pos", "at", F.max("pos").over(right).alias("end"), whole(right).alias("r"), whole(left).alias("l")))
+    marks = _later(held.select("d", "t", "pos", "end", "r"), "r").select("d", "t", "pos", "end")
+    marks = marks.union(_later(held.select("d", "t", "pos", "l"), "l").select("d", "t", "pos", F.col("pos").alias("end")))
+    # Marks come before the line they start at; a line is covered if a mark so far ends at it or later.
+    both = held.select("d", "t", "pos", "at", F.lit(-1).alias("end")).union(marks.select("d", "t", "pos", F.lit(None).cast("int"), "end"))
+    reach = F.max("end").over(doc.orderBy("pos", F.col("at").asc_nulls_first()))
+    return both.withColumn("reach", reach).where("at is not null and reach >= pos").groupBy("d", "t").agg(F.collect_list("at").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

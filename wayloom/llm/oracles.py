@@ -35,17 +35,10 @@ cut as (select d, t, unnest(string_split(t, chr(10))) as line, unnest(range(len(
 worded as (select d, t, line, idx, row_number() over (partition by d, t order by idx) - 1 as pos,
     len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as w
   from cut where regexp_matches(line, '[^\x20\x09-\x0D]')),
-placed as (select *, coalesce(sum(w) over (partition by d, t order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as c0 from worded),
-wins as (select d, t, pos, sum(w) over span as total, list(line) over span as win from placed
-  window span as (partition by d, t order by c0 range between current row and 49 following)),
-firsts as (select win, min(struct_pack(d := d, t := t, pos := pos)) as f from wins where total >= 50 group by win having count(*) > 1),
-hits as (select d, t, pos, f.d as d2, f.t as t2, pos - f.pos as shift from wins join firsts using (win) where total >= 50 and not (d = f.d and t = f.t and pos = f.pos)),
-ways as (select distinct d, t, d2, t2, shift from hits),
-equal as (select y.d, y.t, y.d2, y.t2, y.shift, a.pos, a.idx, h.pos is not null as hit
-  from ways y join placed a on a.d = y.d and a.t = y.t join placed b on b.d = y.d2 and b.t = y.t2 and b.pos = a.pos - y.shift and b.line = a.line
-  left join hits h on h.d = y.d and h.t = y.t and h.d2 = y.d2 and h.t2 = y.t2 and h.shift = y.shift and h.pos = a.pos),
+equal as (select a.d, a.t, b.d as d2, b.t as t2, a.pos - b.pos as shift, a.pos, a.idx, a.w
+  from worded a join worded b on a.line = b.line and (b.d < a.d or (b.d = a.d and (b.t < a.t or (b.t = a.t and b.pos < a.pos))))),
 runs as (select *, pos - row_number() over (partition by d, t, d2, t2, shift order by pos) as run from equal),
-gone as (select distinct d, t, idx from (select d, t, idx, bool_or(hit) over (partition by d, t, d2, t2, shift, run) as ok from runs) where ok),
+gone as (select distinct d, t, idx from (select d, t, idx, sum(w) over (partition by d, t, d2, t2, shift, run) as total from runs) where total >= 50),
 kept as (select c.d, c.t, string_agg(c.line, chr(10) order by c.idx) as text from cut c anti join gone g on g.d = c.d and g.t = c.t and g.idx = c.idx group by c.d, c.t),
 counts as (select d, t, count(*) as n_lines from worded group by d, t),
 lost as (select d, t, count(*) as n_removed from gone group by d, t)
