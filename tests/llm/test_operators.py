@@ -242,7 +242,7 @@ def test_urls(spark):
     got = {r.page_id: r for r in url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
     assert [got[i].verdict for i in (0, 4, 44, 84, 85, 86, 87, 88)] == ["block", "block", "allow", "allow", "block", "allow", "allow", "allow"]
     assert (got[84].host, got[84].path, got[84].rule) == ("www.example.com", "/en/", "www.example.com/en/")
-    # Brute force: every mined rule that fits, by its tokens.
+    # A mined rule fits by its tokens.
     assert got[0].mined and set(got[0].mined.split()) <= {"p:buy", "p:0", "h:a0", "h:example", "h:org"}
 
 
@@ -255,3 +255,20 @@ def test_rules_of_labels_that_say_nothing(spark):
     assert {r.url: (r.mined, r.verdict) for r in got.collect()} == {u: (m, "block" if m else "allow") for u, m in ask.items()}
     few = spark.createDataFrame(list(enumerate(["http://a.net/es/buy", "http://b.org/buy"])), "page_id long, url string")
     assert [r.verdict for r in url_rules.judge(few).orderBy("page_id").collect()] == ["block", "allow"]
+
+
+def test_urls_of_many_parts_and_odd_rows(spark, none):
+    long = "http://a.net/es/" + "/".join(f"part{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    rows = [(1, long, "x")] * 30 + [(i, f"{long}/{chr(97 + i)}", None) for i in range(2, 12)] + [(None, None, None), (20, "", "y"), (21, "://", "y"), (22, "http://", "y"), (23, "http://q.org/" + "a/" * 50_000, "z")]
+    rows += [(100 + i, f"http://n{chr(97 + i % 20)}{chr(97 + i // 20)}.com/x", None) for i in range(60)] + [(24, "http://other.org/partba/partca", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string")
+    got = url_rules.judge(pages).collect()
+    assert Counter(r.page_id for r in got) == Counter(r[0] for r in rows)
+    by = {r.page_id: r for r in got}
+    assert by[1].verdict == "block" and by[1].rule == "net/es/" and by[1].host == "a.net"
+    assert [(by[i].host, by[i].path, by[i].verdict) for i in (None, 20, 21, 22)] == [("", "", "allow")] * 4
+    assert by[24].verdict == "block" and by[23].verdict == "allow"
+    assert url_rules.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    # Every mined verdict against the rule's own tokens.
+    for r in got:
+        assert r.mined is None or set(r.mined.split()) <= {f"p:{x}" for x in r.path.split("/")} | {f"h:{x}" for x in r.host.split(".")}
