@@ -13,6 +13,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+#: Labels for the tagger, no base span: a value given to a name that tells a secret.
+SECRET = re.compile(r"(?i)\b(?:api[_-]?key|key|passw(?:or)?d|secret|token)\b[\"']?[\x20]{0,4}[:=][\x20]{0,4}[\"']?([A-Za-z0-9+/_-]{16,64})(?![A-Za-z0-9+/_-])")
+
 #: What every span of any kind holds.
 TRIGGER = re.compile(r"[0-9@]")
 

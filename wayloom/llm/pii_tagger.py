@@ -1,9 +1,12 @@
 """Personal data found by patterns and by a character-level BiLSTM-CRF.
 
-The tagger is trained in numpy. Its labelled spans are the pattern spans of at most
-``SAMPLE`` windows of the documents, the least by a hash, together with rewritten forms
-of the same spans that the patterns miss (no plus, dots or slashes between the groups
-of digits, spaces around the @) and windows with digits that are no personal data.
+The tagger is trained in numpy, on at most ``SAMPLE`` windows of the documents, the least
+by a hash. Its labelled spans are the pattern spans and secrets (values given to a name
+such as token or key), together with rewritten forms of the same spans that the patterns
+miss (no plus, dots or slashes between the groups of digits, spaces around the @, other
+letters in secrets), and windows with digits that are none of these. A fifth of them is
+held out: how sure a span must be is the least level at which ``RIGHT`` of the spans found
+there are right.
 
 Texts are tagged in overlapping windows around every digit or @; a text without any
 holds no span of these kinds. Emissions are averaged where windows overlap and decoded
@@ -19,6 +22,8 @@ through ``find`` but for those it adds.
 from __future__ import annotations
 
 import hashlib
+import heapq
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -28,13 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pii_patterns import KINDS, TRIGGER, digits_of, show, spans
+from .common import materialize
+from .pii_patterns import KINDS as BASE
+from .pii_patterns import SECRET, TRIGGER, digits_of, show, spans
 
+#: What the tagger knows: the kinds of the patterns, and secrets.
+KINDS = (*BASE, "secret")
 WINDOW, STRIDE = 96, 48
-SAMPLE, EPOCHS, BATCH, RATE = 600, 12, 32, 0.01
+SAMPLE, STEPS, BATCH, RATE = 600, 450, 32, 0.015
 HIDDEN, EMBED = 16, 12
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
-SURE = 0.97
+#: Share of the sample that is held out, and how many of the spans found there must be right for a threshold.
+HELD, RIGHT, LEVELS = 5, 0.98, (0.9, 0.93, 0.95, 0.97, 0.98, 0.99, 0.995)
 NEVER = -1e4
 #: Characters: ASCII ones each, other letters, other, padding.
 OTHER_LETTER, OTHER, PAD, N_CHARS = 128, 129, 130, 131
@@ -76,6 +86,7 @@ def _softmax_sum(x: np.ndarray, axis: int) -> np.ndarray:
 class Tagger:
     def __init__(self, seed: int = 3):
         r = np.random.RandomState(seed)
+        self.sure = LEVELS[-1]
         self.p = {"E": r.randn(N_CHARS, EMBED) * 0.3, "O": r.randn(2 * HIDDEN, TAGS) * 0.2, "c": np.zeros(TAGS), "T": np.zeros((TAGS, TAGS))}
         for d in "fb":
             self.p |= {f"W{d}": r.randn(EMBED, 4 * HIDDEN) * 0.3, f"U{d}": r.randn(HIDDEN, 4 * HIDDEN) * 0.2, f"a{d}": np.zeros(4 * HIDDEN)}
@@ -152,20 +163,20 @@ class Tagger:
         np.add.at(grad["E"], x.T, de)
         return float(z.sum() - gold) / m, {k: g / m for k, g in grad.items()}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> "Tagger":
-        r, step = np.random.RandomState(seed), 0
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 5) -> "Tagger":
+        r, order = np.random.RandomState(seed), np.zeros(0, np.int64)
         one, two = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        for epoch in range(epochs):
-            order = r.permutation(len(x))
-            for lo in range(0, len(x), BATCH):
-                step += 1
-                _, grad = self.loss(x[order[lo : lo + BATCH]], y[order[lo : lo + BATCH]])
-                size = np.sqrt(sum((g**2).sum() for g in grad.values()))
-                for k, g in grad.items():
-                    g = g * min(1.0, 5.0 / (size + 1e-9))
-                    one[k] = 0.9 * one[k] + 0.1 * g
-                    two[k] = 0.99 * two[k] + 0.01 * g * g
-                    self.p[k] -= RATE * (0.5 if epoch > epochs // 2 else 1) * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.99**step)) + 1e-8)
+        for step in range(1, steps + 1):
+            while len(order) < BATCH:
+                order = np.concatenate([order, r.permutation(len(x))])
+            own, order = order[:BATCH], order[BATCH:]
+            _, grad = self.loss(x[own], y[own])
+            size = np.sqrt(sum((g**2).sum() for g in grad.values()))
+            for k, g in grad.items():
+                g = g * min(1.0, 5.0 / (size + 1e-9))
+                one[k] = 0.9 * one[k] + 0.1 * g
+                two[k] = 0.99 * two[k] + 0.01 * g * g
+                self.p[k] -= RATE * (1 - 0.95 * step / steps) * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
     def decode(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,9 +220,22 @@ def starts(length: int) -> list[int]:
 
 def _complete(kind: str, s: str) -> bool:
     n = len(digits_of(s))
+    if kind == "secret":
+        return len(s) >= 16 and 0 < n < len(s) and not any(c.isspace() for c in s)
     return {"email": s.count("@") == 1 and "." in s.split("@")[-1], "ip": s.count(".") == 3 and 4 <= n <= 12, "card": 12 <= n <= 19, "phone": 9 <= n <= 15}[kind]
 
 
+def runs_of(path: np.ndarray) -> list[tuple[str, int, int]]:
+    """The spans that tags say."""
+    out, begin = [], np.flatnonzero(path % 2 == 1)
+    for x in begin.tolist():
+        y = x + 1
+        while y < len(path) and path[y] == path[x] + 1:
+            y += 1
+        out.append((KINDS[path[x] // 2], x, y))
+    return out
+
+
 def added(tagger: Tagger, texts: list[str], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
     """The tagger's further spans in each text."""
     todo = [(i, a, b) for i, t in enumerate(texts) for a, b in stretches(t)]
@@ -231,17 +255,14 @@ def added(tagger: Tagger, texts: list[str], base: list[list[tuple[str, int, int]
                 seen[k][x : x + b - a] += 1
         for k, (i, a, _) in enumerate(part):
             path, sure = tagger.decode(total[k] / seen[k])
-            x = 0
-            while x < len(path):
-                y = x + 1
-                if path[x] % 2 == 1:
-                    while y < len(path) and path[y] == path[x] + 1:
-                        y += 1
-                    kind, lo, hi = KINDS[path[x] // 2], a + x, a + y
-                    free = all(hi <= p or q <= lo for _, p, q in base[i])
-                    if free and sure[x:y].min() >= SURE and _complete(kind, texts[i][lo:hi]):
-                        out[i].append((kind, lo, hi))
-                x = y
+            ends = np.array([q for _, _, q in base[i]], np.int64)
+            for kind, x, y in runs_of(path):
+                lo, hi = a + x, a + y
+                # Pattern spans are in order of their starts; those of one kind don't overlap.
+                near = base[i][max(0, int(np.searchsorted(np.maximum.accumulate(ends), lo, side="right"))) :] if len(ends) else []
+                free = all(q <= lo for _, p, q in itertools.takewhile(lambda b, hi=hi: b[1] < hi, near))
+                if free and sure[x:y].min() >= tagger.sure and _complete(kind, texts[i][lo:hi]):
+                    out[i].append((kind, lo, hi))
     return out
 
 
@@ -254,41 +275,59 @@ def rewritten(kind: str, s: str, turn: int) -> str:
         return ("." if turn % 2 else "/").join(d[i : i + 4] for i in range(0, len(d), 4))
     if kind == "phone":
         return s[1:] if turn % 2 else s[1:].replace(" ", ".")
+    if kind == "secret":
+        return "".join(chr(ord(c) + 7 + turn % 9) if "a" <= c <= "f" else c for c in s) if turn % 2 else s.upper()
     return s
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> windows with their spans: around each pattern span, and where digits are none."""
-    for batch in batches:
-        rows = []
-        for text in batch.column(0).to_pylist():
-            if not text or not TRIGGER.search(text):
-                continue
-            base = spans(text)
-            for a, b in stretches(text):
-                for o in starts(b - a)[:4]:
-                    lo, hi = a + o, min(b, a + o + WINDOW)
-                    inner = [(k, p - lo, q - lo) for k, p, q in base if lo <= p and q <= hi]
-                    if all(q <= lo or hi <= p or (lo <= p and q <= hi) for _, p, q in base):
-                        window = text[lo:hi]
-                        rows.append((hashlib.md5(window.encode("utf-8", "surrogatepass")).hexdigest(), window, json.dumps(inner), bool(inner)))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.bool_()), strict=True)], names=["h", "window", "inner", "has"])
+def labelled(text: str) -> list[tuple[str, int, int]]:
+    """The spans that the tagger learns from: the patterns', and secrets given to a name that says so."""
+    secrets = [("secret", *m.span(1)) for m in SECRET.finditer(text)]
+    base = [b for b in spans(text) if all(b[2] <= p or q <= b[1] for _, p, q in secrets)]
+    return sorted(base + secrets, key=lambda s: s[1])
+
+
+def _examples(sample: int):
+    """Texts -> windows with their spans: around each labelled span, and where digits are none; of a task's the least by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bool, set[tuple]] = {True: set(), False: set()}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if not text or not TRIGGER.search(text):
+                    continue
+                base = labelled(text)
+                for a, b in stretches(text):
+                    for o in starts(b - a):
+                        lo, hi = a + o, min(b, a + o + WINDOW)
+                        inner = [(k, p - lo, q - lo) for k, p, q in base if lo <= p and q <= hi]
+                        if all(q <= lo or hi <= p or (lo <= p and q <= hi) for _, p, q in base):
+                            window = text[lo:hi]
+                            best[bool(inner)].add((hashlib.md5(window.encode("utf-8", "surrogatepass")).hexdigest(), window, json.dumps(inner)))
+                    for has in best:
+                        if len(best[has]) > 10 * sample:
+                            best[has] = set(heapq.nsmallest(sample, best[has]))
+        for has, rows in best.items():
+            own = heapq.nsmallest(sample, rows)
+            cols = list(zip(*own, strict=True)) if own else [[]] * 3
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols], pa.array([has] * len(own), pa.bool_())], names=["h", "window", "inner", "has"])
+
+    return run
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
-    """A tagger fitted on a bounded sample; None if the documents hold no pattern span."""
-    rows = docs.select("text").mapInArrow(_examples, "h string, window string, inner string, has boolean")
-    best = [r for has, n in ((True, sample * 3 // 4), (False, sample // 4)) for r in rows.where(F.col("has") == has).orderBy("h", "window", "inner").limit(n).collect()]
+    """A tagger fitted on a bounded sample of distinct windows; None if the documents hold no span to learn from."""
+    rows = materialize(docs.select("text").mapInArrow(_examples(sample), "h string, window string, inner string, has boolean"))
+    best = [r for has, n in ((True, sample * 3 // 4), (False, sample // 4)) for r in rows.where(F.col("has") == has).dropDuplicates(["h", "window", "inner"]).orderBy("h", "window", "inner").limit(n).collect()]
     if not any(r.has for r in best):
         return None
-    windows, tags = [], []
+    sets: dict[bool, list] = {True: [], False: []}  # by whether they are held out
     for i, r in enumerate(best):
+        own = sets[i % HELD == 1]
         inner = [tuple(x) for x in json.loads(r.inner)]
-        windows.append(r.window)
-        tags.append(tags_of(len(r.window), inner))
+        own.append((r.window, inner))
         text, found, at = "", [], 0
-        for k, a, b in sorted(inner, key=lambda s: s[1]):
+        for k, a, b in inner:
             if a < at:
                 continue
             text += r.window[at:a]
@@ -297,16 +336,32 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
             text, at = text + new, b
         text += r.window[at:]
         if inner and len(text) <= WINDOW:
-            windows.append(text)
-            tags.append(tags_of(len(text), found))
-    x = np.stack([codes(w, WINDOW) for w in windows])
-    y = np.stack([np.pad(t, (0, WINDOW - len(t))) for t in tags])
-    return Tagger().fit(x, y)
+            own.append((text, found))
+    x = np.stack([codes(w, WINDOW) for w, _ in sets[False]])
+    y = np.stack([np.pad(tags_of(len(w), found), (0, WINDOW - len(w))) for w, found in sets[False]])
+    tagger = Tagger().fit(x, y)
+    tagger.sure, tagger.measured = threshold(tagger, sets[True])
+    return tagger
+
+
+def threshold(tagger: Tagger, held: list[tuple[str, list]]) -> tuple[float, list[tuple[float, float, float]]]:
+    """The least certainty at which held-out spans are right often enough (else the greatest), and (certainty, precision, recall) for all."""
+    found, want = [], 0
+    for window, inner in held:
+        s = tagger.emissions(codes(window, WINDOW)[None])[0][: len(window)]
+        path, sure = tagger.decode(s)
+        found += [(float(sure[a:b].min()), (k, a, b) in inner) for k, a, b in runs_of(path) if _complete(k, window[a:b])]
+        want += len(inner)
+    rows = []
+    for level in LEVELS:
+        own = [right for sure, right in found if sure >= level]
+        rows.append((level, sum(own) / len(own) if own else 0.0, sum(own) / want if want else 0.0))
+    return next((level for level, precision, _ in rows if precision >= RIGHT), LEVELS[-1]), rows
 
 
 def find(docs: DataFrame) -> DataFrame:
     """The documents with ``base`` and ``spans`` (kind:start:end, comma-joined) and the number of base spans of each kind."""
-    names = ("base", "spans", *(f"n_{k}" for k in KINDS))
+    names = ("base", "spans", *(f"n_{k}" for k in BASE))
     docs = docs.drop(*names)
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
     schema = T.StructType([*docs.schema.fields, T.StructField("base", T.StringType()), T.StructField("spans", T.StringType()), *[T.StructField(n, T.LongType()) for n in names[2:]]])
@@ -320,7 +375,7 @@ def find(docs: DataFrame) -> DataFrame:
                 base = [spans(t) for t in texts]
                 more = added(tagger, texts, base) if tagger else [[] for _ in texts]
                 every = [sorted(b + m, key=lambda s: (s[1], KINDS.index(s[0]))) for b, m in zip(base, more, strict=True)]
-                counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS]
+                counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in BASE]
                 new = [pa.array([show(b) for b in base]), pa.array([show(e) for e in every]), *counts]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
 
@@ -328,7 +383,8 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, digest of the base spans, all spans, and how many the tagger added."""
+    """doc_id, counts, digest of the base spans, all spans, how many the tagger added, and how many there are."""
     found = find(docs.select("doc_id", "text"))
-    size = lambda c: F.size(F.filter(F.split(c, ","), lambda x: x != ""))
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", (size(F.col("spans")) - size(F.col("base"))).cast("long").alias("n_added"))
+    size = lambda c: F.size(F.filter(F.split(c, ","), lambda x: x != "")).cast("long")
+    every = size(F.col("spans"))
+    return found.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2("base", 256).alias("base_sha256"), "spans", (every - size(F.col("base"))).alias("n_added"), every.alias("n_spans"))
