@@ -167,9 +167,3 @@ def graph_metrics(edge: DataFrame) -> DataFrame:
         return pd.DataFrame([(pdf["uid"].iloc[0], n, max(far.values()), float(np.mean(list(far.values()))), None if same else float(np.corrcoef(x.T)[0, 1]), max(node.values()) * scale, directed_clustering(pairs, nodes))], columns=["uid", "n", "diameter", "eccentricity", "assortativity", "max_betweenness", "clustering"])
 
     return edge.groupBy("uid").applyInPandas(one, "uid long, n long, diameter long, eccentricity double, assortativity double, max_betweenness double, clustering double")
-
-
-def slot_days(stay: DataFrame) -> DataFrame:
-    """Distinct days of stays by place, weekend and slot of the arrival."""
-    s = stay.withColumns({"slot": timeparts.slot_of_day(F.col("arrive")), "weekend": timeparts.is_weekend(F.col("arrive")), "day": F.floor(F.col("arrive") / timeparts.DAY)})
-    return s.groupBy("uid", "lid", "weekend", "slot").agg(F.countDistinct("day").alias("n_days"))

@@ -38,3 +38,15 @@ def first_per_month(rows: DataFrame) -> DataFrame:
 def first_of(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """One row a key, by an explicit order."""
     return rows.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__k = 1").drop("__k")
+
+
+def train_test(labelled: DataFrame) -> DataFrame:
+    """(uid, idx, train_label, test_label): each user's labels of a period and of the one after."""
+    nxt = labelled.select("uid", (F.col("idx") - 1).alias("idx"), F.col("label").alias("test_label"))
+    return labelled.select("uid", "idx", F.col("label").alias("train_label")).join(nxt, ["uid", "idx"])
+
+
+def inner_months(rows: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Rows whose time, a month earlier, is not before ``lo``, and a month later is before ``hi``."""
+    shift = lambda n: F.add_months(F.col("ts").cast("date"), n)
+    return rows.where((shift(-1) >= F.lit(lo).cast("date")) & (shift(1) < F.lit(hi).cast("date")))

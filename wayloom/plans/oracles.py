@@ -36,15 +36,48 @@ X = f"cast(greatest(least(floor((lon+180)/(2*{STEP})), 16777215), 0) as bigint)"
 Y = f"cast(greatest(least(floor((90-lat)/({STEP})), 16777215), 0) as bigint)"
 PATH = "concat(" + ", ".join(f"cast((({Y} >> {23 - k}) & 1)*2 + (({X} >> {23 - k}) & 1) as varchar)" for k in range(16)) + ")"
 MONTH = "cast(year(make_timestamp(cast(floor(t) as bigint)*1000000))*12 + month(make_timestamp(cast(floor(t) as bigint)*1000000)) - 1 as int)"
-CELLS = f"""
+TYPES, MEASURED, SUMS = ("A", "B", "C", "Q", "start", "stop"), ("A", "B", "C", "Q"), ("speed", "max_acc", "avg_acc")
+COUNTERS = ["nbr_traj_start", "nbr_traj_stop", "nbr_traj_move", "traj_speed_sum", "traj_speed_count", *[f"nbr_evnt_{t}" for t in TYPES], *[f"{m}_{t}_sum" for t in MEASURED for m in SUMS], "nbr_crash"]
+
+
+def _cells() -> str:
+    row = lambda **v: ", ".join(f"{v.get(c, '0.0' if c == 'traj_speed_sum' else '0')} as {c}" for c in COUNTERS)
+    own = MONTH.replace("(t)", "(t0)")
+    moved = row(nbr_traj_start="(k=1)::int", nbr_traj_stop="(k=n_points and k>1)::int", nbr_traj_move="(k>1 and k<n_points)::int", traj_speed_sum="case when k>1 then speed else 0.0 end", traj_speed_count="(k>1)::int")
+    happened = row(**{f"nbr_evnt_{t}": f"(event_type='{t}')::int" for t in TYPES}, **{f"{m}_{t}_sum": f"case when event_type='{t}' then {m} else 0 end" for t in MEASURED for m in SUMS})
+    return f"""
+active as (select distinct uid as auid, {own} as amonth from trips),
+happened as (select e.*, lon, lat from events_v e join positions_v p on p.pid = e.eid),
 parts as (
-  select {MONTH} as month_idx, {PATH} as path, case when k=1 then 1 else 0 end as n_start, case when k=n_points and k>1 then 1 else 0 end as n_stop,
-    case when k>1 and k<n_points then 1 else 0 end as n_move, case when k>1 then 1 else 0 end as n_speed, case when k>1 then speed else 0.0 end as sum_speed, 0 as n_events, 0 as n_crash
-  from allsteps s join (select uid, tid, n_points from trips) using (uid, tid)
-  union all select {MONTH}, {PATH}, 0, 0, 0, 0, 0.0, 1, 0 from positions_v
-  union all select {MONTH}, {PATH}, 0, 0, 0, 0, 0.0, 0, 1 from positions_v where pid in (select cid from crashes_v))"""
-CELL_COLS = ("n_start", "n_stop", "n_move", "n_speed", "n_events", "n_crash")
-CELL_SUMS = ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in CELL_COLS) + ", round(sum(sum_speed), 6) as sum_speed"
+  select {own} as month_idx, {PATH} as path, {moved} from allsteps s join (select uid, tid, n_points, t0 from trips) using (uid, tid)
+  union all select {MONTH}, {PATH}, {happened} from happened semi join active on auid = uid and amonth = {MONTH}
+  union all select {MONTH}, {PATH}, {row(nbr_crash="1")} from (select * from positions_v where pid in (select cid from crashes_v)) semi join active on auid = uid and amonth = {MONTH}),
+cells as (select month_idx, path, {", ".join(f"sum({c}) as {c}" for c in COUNTERS)} from parts group by month_idx, path)"""
+
+
+def _counter_sums(digits: int = 6) -> str:
+    return ", ".join(f"round(sum({c}), {digits}) as {c}" if c == "traj_speed_sum" else f"cast(sum({c}) as bigint) as {c}" for c in COUNTERS)
+
+
+def _collective() -> str:
+    """Means of cells' measures by user, over regular and other cells, cells of one tree node summed."""
+    mean = {"avg_traj_speed": ("traj_speed_sum", "traj_speed_count")} | {f"avg_{m}_{t}": (f"{m}_{t}_sum", f"nbr_evnt_{t}") for t in MEASURED for m in SUMS}
+    names = ["nbr_traj_start", "nbr_traj_stop", "nbr_traj_move", "avg_traj_speed", *[f"nbr_evnt_{t}" for t in TYPES], *[m for m in mean if m != "avg_traj_speed"], "nbr_crash"]
+    each = ", ".join(f"coalesce({mean[m][0]} / nullif({mean[m][1]}, 0), 0.0) as {m}" if m in mean else f"{m}" for m in names)
+    out = ", ".join(f"round(sum({m}*w) filter (where {'' if n == 'reg' else 'not '}r) / nullif(sum(w) filter (where {'' if n == 'reg' else 'not '}r), 0), 6) as {n}_{m}" for m in names for n in ("reg", "occ"))
+    return f""", {_cells()},
+c as (select path, {", ".join(f"sum({c}) as {c}" for c in COUNTERS)} from cells group by path),
+pp as (select uid, tid, lid, {PATH} as path from points),
+nodes as (select path[1:d] as node from pp, range(17) r(d) group by path[1:d] having count(*) >= 50 or path[1:d] = ''),
+up as (select path, arg_max(node, length(node)) as ancestor from (select distinct path from pp) join nodes on starts_with(path, node) group by path),
+v as (select uid, path, count(distinct tid) as w from pp group by uid, path),
+reg as (select distinct pp.uid, pp.path from pp join support s on s.uid = pp.uid and s.lid = pp.lid where s.rank < 2),
+j as (select v.uid, ancestor, reg.path is not null as r, sum(w) as w, {", ".join(f"sum({c}) as {c}" for c in COUNTERS)}
+  from v join c using (path) join up using (path) left join reg on reg.uid = v.uid and reg.path = v.path group by all),
+k as (select uid, r, w, {each} from j)
+select uid, {out} from k group by uid"""
+
+
 D_M = "2*6371000.0*asin(sqrt(least(pow(sin(radians({b}-{a})/2),2)*pow(cos(radians({d}-{c})/2),2)+pow(sin(radians({d}-{c})/2),2)*pow(cos(radians(({a}+{b})/2)),2),1.0)))"
 
 
@@ -100,10 +133,12 @@ def all_sql() -> dict[str, str]:
     b0 = "degrees(atan2(sin(radians(lon-plon))*cos(radians(lat)), cos(radians(plat))*sin(radians(lat))-sin(radians(plat))*cos(radians(lat))*cos(radians(lon-plon))))+360"
     stats4 = ", ".join(f"round(avg({c}), 6) as avg_{c}, round(stddev_pop({c}), 6) as std_{c}" for c in ("speed", "max_acc", "avg_acc", "duration"))
     hist = ", mins as (select uid, lid, unnest(range(cast(floor(arrive/60) as bigint), least(cast(floor(leave/60) as bigint), cast(floor(arrive/60) as bigint)+1439)+1)) as m from stays), hist as (select uid, lid, m%1440 as minute, count(*) as n from mins group by all)"
-    hour = "(arrive - floor(arrive/86400)*86400)"
-    slot = f"case when {hour}>21600 and {hour}<=32400 then '06-09' when {hour}>32400 and {hour}<=64800 then '09-18' when {hour}>64800 and {hour}<=75600 then '18-21' else '21-06' end"
     half = ", old as (select uid, lid as oid, avg(lon) as olon, avg(lat) as olat from positions_v where t < 1705276800.0 group by uid, lid), new as (select uid, lid, avg(lon) as lon, avg(lat) as lat from positions_v where t >= 1705276800.0 group by uid, lid)"
-    cells = f", {CELLS}"
+    cells = f", {_cells()}"
+    slots = lambda t: "case when {h}>21600 and {h}<=32400 then '06-09' when {h}>32400 and {h}<=64800 then '09-18' when {h}>64800 and {h}<=75600 then '18-21' else '21-06' end".format(h=f"({t} - floor({t}/86400)*86400)")
+    days = lambda keys: f"select {keys}, (cast(floor(t/86400) as bigint)+3)%7 >= 5 as weekend, {slots('t')} as slot, count(distinct floor(t/86400)) as n_days from times group by all"
+    steps_of = lambda a, b: f"unnest(range(0, cast(floor(({b}-{a})/3600) as bigint)+1))"
+    fence = lambda src, keys, c, name: f"{name} as (select {keys}, {c} from {src} join (select {keys}, quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.75) as q3 from {src} group by {keys}) using ({keys}) where {c} between q1-1.5*(q3-q1) and q3+1.5*(q3-q1))"
     q = {
         "trip_gap_sessions": "select uid, tid, n_points, round(length_km, 6) as length_km, round(duration_s, 6) as duration_s, src, dst from trips",
         "trip_features": _trip_features(),
@@ -115,8 +150,9 @@ def all_sql() -> dict[str, str]:
         "point_at_time": f"select pid, round(plon+{tu}*(lon-plon), 6) as lon, round(plat+{tu}*(lat-plat), 6) as lat from steps",
         "quadtree_path": f"select pid, {PATH} as path from positions_v",
         "geohash_cells": "select uid, count(distinct (floor((lon+180)/360*8192)*4096+floor((lat+90)/180*4096))) as k_min, count(distinct (floor((lon+180)/360*262144)*131072+floor((lat+90)/180*131072))) as k_max from positions_v group by uid",
-        "cell_counters": f"{cells} select month_idx, path, {CELL_SUMS} from parts group by month_idx, path",
-        "cell_rollup": f"{cells} select path[1:12] as path, {CELL_SUMS} from parts group by path[1:12]",
+        "cell_counters": f"{cells} select month_idx, path, {_counter_sums()} from cells group by month_idx, path",
+        "cell_rollup": f"{cells} select path[1:12] as path, {_counter_sums()} from cells group by path[1:12]",
+        "cell_period_rollup": f"{cells}, sp as (select i as idx, 24285 + i as lo, 24289 + i as hi from range(5) r(i)) select idx, path, {_counter_sums()} from cells join sp on month_idx >= lo and month_idx < hi group by idx, path",
         "event_interval_join": "select eid, e.uid, tid from events_v e join trips r on e.uid = r.uid and e.t between r.t0 and r.t1",
         "crash_interval_join": "select cid, e.uid, tid from crashes_v e join trips r on e.uid = r.uid and e.t between r.t0 and r.t1",
         "event_features_type": _event_features("event_type", "type"),
@@ -128,12 +164,27 @@ def all_sql() -> dict[str, str]:
         "location_support_rank": "select uid, lid, support, rank from support",
         "next_location_entropy": ", p as (select uid, src, weight / sum(weight) over (partition by uid, src) as p from edges) select uid, src, round(case when count(*) > 1 then -sum(p*log2(p))/log2(count(*)) else 0.0 end, 6) as entropy from p group by uid, src",
         "radius_of_gyration": f", c as (select *, avg(lon) over (partition by uid) as clon, avg(lat) over (partition by uid) as clat from ends) select uid, round(avg({metres('lon', 'lat', 'clon', 'clat')}), 6) as gyration_m from c group by uid",
-        "iqr_movement_stats": ", q as (select src, dst, quantile_cont(length_km, 0.25) as q1, quantile_cont(length_km, 0.75) as q3 from trips group by src, dst) select t.src, t.dst, count(*) as n, round(quantile_cont(length_km, 0.5), 6) as median_km, round(avg(length_km), 6) as mean_km, round(stddev_pop(length_km), 6) as std_km from trips t join q on t.src = q.src and t.dst = q.dst where length_km between q1 - 1.5*(q3-q1) and q3 + 1.5*(q3-q1) group by t.src, t.dst",
+        "iqr_movement_stats": f", {fence('trips', 'uid, src, dst', 'length_km', 'fk')}, {fence('trips', 'uid, src, dst', 'duration_s', 'fs')} select * from (select uid, src, dst, count(*) as support from trips group by uid, src, dst) join (select uid, src, dst, round(quantile_cont(length_km, 0.5), 6) as median_km, round(avg(length_km), 6) as avg_km, round(stddev_pop(length_km), 6) as std_km from fk group by uid, src, dst) using (uid, src, dst) join (select uid, src, dst, round(quantile_cont(duration_s, 0.5), 6) as median_s, round(avg(duration_s), 6) as avg_s, round(stddev_pop(duration_s), 6) as std_s from fs group by uid, src, dst) using (uid, src, dst)",
+        "user_movement_stats": f", top as (select uid, lid from support where rank < 2), between_ as (select t.* from trips t semi join top a on a.uid = t.uid and a.lid = t.src semi join top b on b.uid = t.uid and b.lid = t.dst), {fence('trips', 'uid', 'length_km', 'ak')}, {fence('trips', 'uid', 'duration_s', 'as_')}, {fence('between_', 'uid', 'length_km', 'rk')}, {fence('between_', 'uid', 'duration_s', 'rs')}, "
+        + ", ".join(f"{v}2 as (select uid, avg({c}) as a, stddev_pop({c}) as s from {v} group by uid)" for v, c in (("ak", "length_km"), ("as_", "duration_s"), ("rk", "length_km"), ("rs", "duration_s")))
+        + ", n as (select uid, count(*) as n_reg_traj, count(distinct (src, dst)) as n_reg_movs from between_ group by uid) select u.uid, round(ak2.a, 6) as avg_mov_length, round(ak2.s, 6) as std_mov_length, round(as_2.a, 6) as avg_mov_duration, round(as_2.s, 6) as std_mov_duration, round(rk2.a, 6) as avg_reg_mov_length, round(rk2.s, 6) as std_reg_mov_length, round(coalesce(rs2.a, as_2.a), 6) as avg_reg_mov_duration, round(coalesce(rs2.s, as_2.s), 6) as std_reg_mov_duration, coalesce(n_reg_traj, 0) as n_reg_traj, coalesce(n_reg_movs, 0) as n_reg_movs from (select distinct uid from trips) u left join ak2 using (uid) left join as_2 using (uid) left join rk2 using (uid) left join rs2 using (uid) left join n using (uid)",
+        "travel_minute_hist": "select uid, dst, minute, count(*) as n from (select uid, dst, unnest(range(cast(floor((t0 - floor(t0/86400)*86400)/60) as bigint), cast(floor((t1 - floor(t1/86400)*86400)/60) as bigint)+1)) as minute from trips) group by uid, dst, minute",
+        "movement_slot_days": f", times as (select uid, src, dst, t0 + 3600*k as t from (select *, {steps_of('t0', 't1')} as k from trips) union all select uid, src, dst, t1 from trips) {days('uid, src, dst')}",
+        "first_seen_movements": "select uid, src, dst, row_number() over (partition by uid order by min(struct_pack(t0 := t0, tid := tid))) - 1 as mid, count(*) as n from trips group by uid, src, dst",
+        "regular_gyration_entropy": f", e as (select ends.* from ends semi join (select uid, lid from support where rank < 2) top on top.uid = ends.uid and top.lid = ends.lid), c as (select *, avg(lon) over (partition by uid) as clon, avg(lat) over (partition by uid) as clat from e), p as (select uid, n / sum(n) over (partition by uid) as p from (select uid, lid, count(*) as n from e group by uid, lid)) select * from (select uid, round(avg({metres('lon', 'lat', 'clon', 'clat')}), 6) as gyration_m from c group by uid) join (select uid, round(case when count(*) > 1 then -sum(p*log2(p))/log2(count(*)) else 0.0 end, 6) as entropy from p group by uid) using (uid)",
+        "support_share": "select uid, lid, support, round(support / max(support) over (partition by uid), 6) as share from support",
+        "event_destination_entropy": ", x as (select e.uid, event_type, dst, count(*) as n from events_v e join trips r on e.uid = r.uid and e.t between r.t0 and r.t1 group by all), p as (select uid, event_type, n / sum(n) over (partition by uid, event_type) as p from x) select uid, event_type, round(case when count(*) > 1 then -sum(p*log2(p))/log2(count(*)) else 0.0 end, 6) as entropy from p group by uid, event_type",
+        "top_place_events": ", top as (select uid, lid, rank from support where rank < 3) select e.uid, event_type, f.rank as from_rank, g.rank as to_rank, count(*) as n from events_v e join trips r on e.uid = r.uid and e.t between r.t0 and r.t1 join top g on g.uid = r.uid and g.lid = r.dst left join top f on f.uid = r.uid and f.lid = r.src group by all",
+        "finite_speeds": "select pid, 'kept' as how, round(speed, 6) as x from steps where pid % 7 <> 0 and pid % 11 <> 0 union all select pid, 'cleaned', round(case when pid % 7 = 0 or pid % 11 = 0 then 0.0 else speed end, 6) from steps",
+        "edge_change": "select uid, round(count(*) filter (where a > 0 and b > 0) / count(*), 6) as jaccard from (select uid, src, dst, count(*) filter (where t0 < 1705276800.0) as a, count(*) filter (where t0 >= 1705276800.0) as b from trips group by uid, src, dst) group by uid",
+        "first_last_month": "select uid, min(month) as first, max(month) as last, arg_min(n, month) as n_first, arg_max(n, month) as n_last from (select uid, month, count(*) as n from orders_v group by uid, month) group by uid",
+        "train_test_pairs": ", a as (select distinct uid, idx, hi from orders_v join periods_v on month >= lo and month < hi), l as (select uid, idx, case when exists (select 1 from orders_v o where o.uid = a.uid and o.month = a.hi and o.status = 'F') then 1 else 0 end as label from a) select x.uid, x.idx, x.label as train_label, y.label as test_label from l x join l y on y.uid = x.uid and y.idx = x.idx + 1",
+        "near_months": "select uid, count(*) as n from orders_v where cast(ts as date) - interval 1 month >= date '1995-01-01' and cast(ts as date) + interval 1 month < date '1996-01-01' group by uid",
         "support_knee": ", c as (select *, row_number() over (partition by uid order by support, lid) - 1 as x, count(*) over (partition by uid) as n, min(support) over (partition by uid) as lo, max(support) over (partition by uid) as hi from support) select uid, arg_max(support, struct_pack(f := abs((hi-lo)*x - (n-1)*(support-lo)), x := -x)) as min_support from c group by uid",
         "stay_durations": "select uid, lid, count(*) as n, round(avg(stay_s), 6) as avg_s, round(stddev_pop(stay_s), 6) as std_s from stays group by uid, lid",
         "stay_minute_hist": f"{hist} select uid, lid, minute, n from hist",
         "stay_minute_share": f"{hist} select uid, lid, minute, round(n / sum(n) over (partition by uid, minute), 6) as share from hist",
-        "timeslot_day_counts": f"select uid, lid, (cast(floor(arrive/86400) as bigint)+3)%7 >= 5 as weekend, {slot} as slot, count(distinct floor(arrive/86400)) as n_days from stays group by all",
+        "timeslot_day_counts": f", waits as (select * from (select uid, lag(dst) over w as lid, lag(t1) over w as a, t0 as b from trips window w as (partition by uid order by t0, tid)) where lid is not null), times as (select uid, src as lid, t0 as t from trips union all select uid, dst, t1 from trips union all select uid, lid, a + 3600*k from (select *, {steps_of('a', 'b')} as k from waits where b >= a)) {days('uid, lid')}",
         "month_pair_windows": "select uid, m as first_month, count(*) as n from (select uid, unnest([month(ts)-1, month(ts)]) as m from orders_v) where m between 1 and 11 group by uid, m",
         "sliding_periods": "select idx, count(*) as n, count(distinct uid) as n_users from orders_v join periods_v on month >= lo and month < hi group by idx",
         "period_labels": ", a as (select distinct uid, idx, hi from orders_v join periods_v on month >= lo and month < hi) select uid, idx, case when exists (select 1 from orders_v o where o.uid = a.uid and o.month = a.hi and o.status = 'F') then 1 else 0 end as label from a",
@@ -145,8 +196,7 @@ def all_sql() -> dict[str, str]:
         "jaccard_cosine_change": ", n as (select uid, lid, count(*) filter (where t < 1705276800.0) as a, count(*) filter (where t >= 1705276800.0) as b from ends group by uid, lid) select uid, round(count(*) filter (where a > 0 and b > 0) / count(*), 6) as jaccard, round(1 - sum(a*b) / nullif(sqrt(sum(a*a))*sqrt(sum(b*b)), 0), 6) as cosine from n group by uid",
         "graph_degree_density": ", nodes as (select uid, count(*) as n from (select uid, src from edges union select uid, dst from edges) group by uid), und as (select uid, count(distinct least(src, dst)*1000 + greatest(src, dst)) as u, count(*) as m from edges group by uid) select uid, n, m, round(coalesce(m / nullif(n*(n-1), 0), 0.0), 6) as density, round(2*u/n, 6) as avg_degree, round(m/n, 6) as avg_indegree from nodes join und using (uid)",
         "graph_triangles": ", un as (select distinct uid, least(src, dst) as a, greatest(src, dst) as b from edges where src <> dst) select x.uid, count(*) as triangles from un x join un y on x.uid = y.uid and x.b = y.a join un z on x.uid = z.uid and z.a = x.a and z.b = y.b group by x.uid",
-        "collective_features": f"{cells}, c as (select path[1:12] as path, sum(n_move) as n_move, sum(n_stop) as n_stop, sum(sum_speed) as sum_speed from parts group by path[1:12]), pp as (select uid, tid, lid, {PATH}[1:12] as path from points), v as (select uid, path, count(distinct tid) as w from pp group by uid, path), reg as (select distinct pp.uid, pp.path from pp join support s on s.uid = pp.uid and s.lid = pp.lid where s.rank < 2), j as (select v.uid, w, c.*, reg.path is not null as r from v join c using (path) left join reg on reg.uid = v.uid and reg.path = v.path) select uid, "
-        + ", ".join(f"round(sum({m}*w) filter (where {'' if n == 'reg' else 'not '}r) / nullif(sum(w) filter (where {'' if n == 'reg' else 'not '}r), 0), 6) as {n}_{m}" for m in ("n_move", "n_stop", "sum_speed") for n in ("reg", "occ")) + " from j group by uid",
+        "collective_features": _collective(),
         "minmax_scale": "select c_custkey, round((c_acctbal - min(c_acctbal) over ()) / (max(c_acctbal) over () - min(c_acctbal) over ()), 6) as scaled from customer",
         "deviation_from_mean": "select c_custkey, round((c_acctbal - avg(c_acctbal) over ()) / (max(c_acctbal) over () - min(c_acctbal) over ()), 6) as deviation from customer",
         "quantile_bins": ", q as (select quantile_cont(c_acctbal, 0.25) as a, quantile_cont(c_acctbal, 0.5) as b, quantile_cont(c_acctbal, 0.75) as c from customer) select c_custkey, case when c_acctbal <= a then 0 when c_acctbal <= b then 1 when c_acctbal <= c then 2 else 3 end as bin from customer, q",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, stats, timeparts
-from ..operators import cells, features, learning, network, periods, places, trajectories, trips
+from ..operators import cells, features, learning, movements, network, periods, places, trajectories, trips
 from ..sources import testdata as td
 from . import oracles
 
@@ -79,9 +79,10 @@ def geohash_cells(s, d):
 
 
 def _cells(s, d):
-    pos = td.positions(s, d).select(F.col("pid").alias("eid"), "lon", "lat", "t")
-    crash = td.crashes(s, d).select(F.col("cid").alias("eid")).join(pos, "eid")
-    return cells.counters(trips.steps(_points(s, d)), _trips(s, d), pos, crash)
+    at = td.positions(s, d).select(F.col("pid").alias("eid"), "lon", "lat")
+    crash = td.crashes(s, d).select(F.col("cid").alias("eid"), "uid", "t")
+    p = _points(s, d)
+    return cells.counters(trips.steps(p), trips.trips_of(p), td.events(s, d).join(at, "eid"), crash.join(at, "eid"))
 
 
 def cell_counters(s, d):
@@ -92,6 +93,14 @@ def cell_rollup(s, d):
     return r6(cells.roll_up(_cells(s, d), 12))
 
 
+#: The months that periods of test positions start in.
+CELL_FIRST, CELL_LAST = 2024 * 12 - 3, 2024 * 12 + 5
+
+
+def cell_period_rollup(s, d):
+    return r6(cells.roll_up_periods(_cells(s, d), periods.periods(s, CELL_FIRST, CELL_LAST)))
+
+
 def event_interval_join(s, d):
     return trips.interval_join(td.events(s, d), _trips(s, d)).select("eid", "uid", "tid")
 
@@ -138,8 +147,62 @@ def radius_of_gyration(s, d):
 
 
 def iqr_movement_stats(s, d):
-    t = stats.iqr_filter(_trips(s, d).select("src", "dst", "length_km"), ["src", "dst"], "length_km")
-    return r6(t.groupBy("src", "dst").agg(F.count("*").alias("n"), F.percentile("length_km", 0.5).alias("median_km"), F.avg("length_km").alias("mean_km"), F.stddev_pop("length_km").alias("std_km")))
+    return r6(movements.movement_stats(_trips(s, d)))
+
+
+def _regular(t):
+    return network.support(network.endpoints(t)).where("rank < 2").select("uid", "lid")
+
+
+def user_movement_stats(s, d):
+    t = _trips(s, d)
+    return r6(movements.user_movements(t, _regular(t)))
+
+
+def travel_minute_hist(s, d):
+    return movements.travel_minutes(_trips(s, d))
+
+
+def movement_slot_days(s, d):
+    return movements.movement_days(_trips(s, d))
+
+
+def first_seen_movements(s, d):
+    return movements.first_seen(_trips(s, d))
+
+
+def regular_gyration_entropy(s, d):
+    t = _trips(s, d)
+    e = network.endpoints(t).join(_regular(t), ["uid", "lid"], "left_semi")
+    n = e.groupBy("uid", "lid").agg(F.count("*").alias("n"))
+    return r6(network.gyration(e).join(stats.entropy(n, ["uid"], "n", "entropy"), "uid"))
+
+
+def support_share(s, d):
+    return r6(movements.max_normalised(network.support(network.endpoints(_trips(s, d))).select("uid", "lid", "support"), "uid", "support"))
+
+
+def event_destination_entropy(s, d):
+    t = _trips(s, d)
+    e = trips.interval_join(td.events(s, d), t).select("uid", "tid", "event_type").join(t.select("uid", "tid", "dst"), ["uid", "tid"])
+    return r6(movements.destination_entropy(e))
+
+
+def top_place_events(s, d):
+    """Events by type at (trips that arrive) and between the three most visited places."""
+    t = _trips(s, d)
+    top = network.support(network.endpoints(t)).where("rank < 3").select("uid", "lid", "rank")
+    e = trips.interval_join(td.events(s, d), t).select("uid", "tid", "event_type").join(t.select("uid", "tid", "src", "dst"), ["uid", "tid"])
+    to = top.select("uid", F.col("lid").alias("dst"), F.col("rank").alias("to_rank"))
+    start = top.select("uid", F.col("lid").alias("src"), F.col("rank").alias("from_rank"))
+    return e.join(to, ["uid", "dst"]).join(start, ["uid", "src"], "left").groupBy("uid", "event_type", "from_rank", "to_rank").agg(F.count("*").alias("n"))
+
+
+def finite_speeds(s, d):
+    """Speeds over the time since the last point, without those that are no finite number, and as features with 0 for them."""
+    x = _steps(s, d).select("pid", F.when(F.col("pid") % 7 == 0, F.lit(float("nan"))).when(F.col("pid") % 11 == 0, F.lit(float("inf"))).otherwise(F.col("speed")).alias("x"))
+    kept = movements.finite(x, "x").select("pid", F.lit("kept").alias("how"), "x")
+    return r6(kept.union(movements.clean(x, "x").select("pid", F.lit("cleaned"), "x")))
 
 
 def support_knee(s, d):
@@ -161,7 +224,7 @@ def stay_minute_share(s, d):
 
 
 def timeslot_day_counts(s, d):
-    return network.slot_days(network.stays(_trips(s, d)))
+    return movements.place_days(_trips(s, d))
 
 
 def _orders(s, d):
@@ -224,6 +287,31 @@ def jaccard_cosine_change(s, d):
     return r6(n.groupBy("uid").agg(one.alias("jaccard"), (1 - cosine).alias("cosine")))
 
 
+def edge_change(s, d):
+    """Movements of one half of the time among those of both."""
+    t = _trips(s, d)
+    late = F.col("t0") >= 1705276800.0
+    n = t.groupBy("uid", "src", "dst").agg(F.count_if(~late).alias("a"), F.count_if(late).alias("b"))
+    return r6(n.groupBy("uid").agg((F.count_if((F.col("a") > 0) & (F.col("b") > 0)) / F.count("*")).alias("jaccard")))
+
+
+def first_last_month(s, d):
+    """The orders of each user's first and last month, and the months."""
+    m = _orders(s, d).groupBy("uid", "month").agg(F.count("*").alias("n"))
+    return m.groupBy("uid").agg(F.min("month").alias("first"), F.max("month").alias("last"), F.min_by("n", "month").alias("n_first"), F.max_by("n", "month").alias("n_last"))
+
+
+def train_test_pairs(s, d):
+    """Users active in a period and in the next: the labels to learn from and to test on."""
+    o = _orders(s, d)
+    return periods.train_test(periods.labels(o, o.where("status = 'F'"), periods.periods(s, FIRST, LAST)))
+
+
+def near_months(s, d):
+    """Orders whose months before and after lie in the period as well."""
+    return periods.inner_months(_orders(s, d), "1995-01-01", "1996-01-01").groupBy("uid").agg(F.count("*").alias("n"))
+
+
 def graph_degree_density(s, d):
     return r6(network.degrees(network.edges(_trips(s, d))))
 
@@ -236,11 +324,14 @@ def graph_metrics(s, d):
     return network.graph_metrics(network.edges(_trips(s, d)))
 
 
+#: Positions that make a cell a node of the tree.
+NODE = 50
+
+
 def collective_features(s, d):
-    pts = _points(s, d).withColumn("path", geo.quadtree_path("lon", "lat", 12))
-    top = network.support(network.endpoints(_trips(s, d))).where("rank < 2").select("uid", "lid")
-    regular = pts.join(top, ["uid", "lid"]).select("uid", "path").distinct()
-    return r6(cells.collective(pts.select("uid", "tid", "path"), cells.roll_up(_cells(s, d), 12), regular, ["n_move", "n_stop", "sum_speed"]))
+    pts = _points(s, d).withColumn("path", geo.quadtree_path("lon", "lat"))
+    regular = pts.join(_regular(trips.trips_of(_points(s, d))), ["uid", "lid"], "left_semi").select("uid", "path").distinct()
+    return r6(cells.collective(pts.select("uid", "tid", "path"), cells.roll_up(_cells(s, d), 16), regular, cells.tree_nodes(pts, NODE)))
 
 
 def minmax_scale(s, d):
@@ -314,11 +405,13 @@ def risk_score(s, d):
 
 _ALL = (
     trip_gap_sessions, trip_features, trip_segment_exact, distance_spherical, distance_haversine, bearing, point_speed, closest_point, point_at_time,
-    quadtree_path, geohash_cells, cell_counters, cell_rollup, event_interval_join, crash_interval_join, event_features_type, event_features_location,
+    quadtree_path, geohash_cells, cell_counters, cell_rollup, cell_period_rollup, event_interval_join, crash_interval_join, event_features_type, event_features_location,
     event_features_cross, event_grouping_sets, movement_event_stats, od_edges, location_support_rank, next_location_entropy, radius_of_gyration,
     iqr_movement_stats, support_knee, stay_durations, stay_minute_hist, stay_minute_share, timeslot_day_counts, month_pair_windows, sliding_periods,
     period_labels, anti_join_users, first_event_per_month, dedup_first, nearest_center, cross_window_match, jaccard_cosine_change, graph_degree_density,
     graph_triangles, graph_metrics, collective_features, minmax_scale, deviation_from_mean, quantile_bins,
+    user_movement_stats, travel_minute_hist, movement_slot_days, first_seen_movements, regular_gyration_entropy, support_share, event_destination_entropy,
+    top_place_events, finite_speeds, edge_change, first_last_month, train_test_pairs, near_months,
     regular_locations, tosca_locations, kmeans_cells, trajectory_medoid, trajectory_inclusion, smote, risk_score,
 )
 
