@@ -90,3 +90,38 @@ def write_dataset(parts: list[DataFrame], path: str) -> None:
 def unfinished(todo: DataFrame, done: DataFrame, key: str = "uid") -> DataFrame:
     """Rows whose key is not among those already processed."""
     return todo.join(done.select(key).distinct(), key, "left_anti")
+
+
+def of_users(df: DataFrame, wanted: DataFrame, key: str = "uid") -> DataFrame:
+    """The rows of several users at once, each with its own user only, in order within its task."""
+    return df.join(wanted.select(key).distinct(), key, "left_semi").sortWithinPartitions(key)
+
+
+def with_rejects(df: DataFrame, **checks: Column) -> DataFrame:
+    """Adds ``reject``: the name of the first check that a row fails (a null check fails too), or null."""
+    out = F.lit(None).cast("string")
+    for name, good in reversed(checks.items()):
+        out = F.when(F.coalesce(good, F.lit(False)), out).otherwise(F.lit(name))
+    return df.withColumn("reject", out)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows of features as gzipped JSON lines; nulls are kept as such."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path, compression="gzip")
+
+
+def write_network(places: DataFrame, movements: DataFrame, path: str, key: str = "uid") -> None:
+    """A user's mobility network as one JSON line: places and movements nested, in order."""
+    nest = lambda df, name: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != key]))).alias(name))
+    write_json(nest(places, "places").join(nest(movements, "movements"), key, "full"), path)
+
+
+def write_cells(cells: DataFrame, path: str, by: str = "month_idx") -> None:
+    """The counters of all cells as one table, a folder per month."""
+    write_table(cells, path, by)
+
+
+def write_model(model, scores: DataFrame, path: str) -> None:
+    """A fitted Spark model with its evaluation as JSON lines beside it."""
+    model.write().overwrite().save(f"{path}/model")
+    write_json(scores, f"{path}/evaluation")
