@@ -17,7 +17,7 @@ ones found there.
    chunks, and each gets the log probability of its later bytes once.
 3. Weights are trained online, in small batches of places in random order, each predicted
    as if it had not been counted; shards and chunks start from common weights and are
-   averaged by what they saw, twice. The second pass also fills the map, with what was
+   averaged by what they saw. The last of ``PASSES`` also fills the map, with what was
    predicted before each step. All sums are whole numbers, so that reruns agree.
 
 Texts are lower-cased (A-Z) and end in a byte that UTF-8 does not have; probabilities
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .sentencepiece_codec import text_blocks
-from .shingles import mixed, powers
+from .shingles import BLANKS, mixed, powers
 
 #: Bytes of each context (8: the word so far), and its slots as powers of two; the first two need no hashing.
 CONTEXTS = (0, 1, 2, 3, 4, 5, 8)
@@ -56,9 +56,9 @@ BACK = 5
 ORDERS = len(SLOTS)
 END = 0xFF
 #: Training tokens a shard of windows stands for, and bytes of units that a task joins at a time.
-SHARD, CHUNK_BYTES = 500_000, 300_000
+SHARD, CHUNK_BYTES = 500_000, 100_000
 HEAD = 100_000
-PRIOR, RATE, BATCH, PASSES = 0.05, 0.1, 256, 2
+PRIOR, RATE, BATCH, PASSES = 0.05, 0.1, 256, 1
 #: Gates: how long the word so far is and how often it was seen; for later bytes how often, or the longest context if never; times the bit's place.
 LEVELS = np.array([1, 2, 4, 8, 24, 100])
 OFTEN = len(LEVELS) + 1
@@ -72,10 +72,10 @@ CHUNK = 1 << 16
 LOG = np.log(np.arange(1 << 16, dtype=np.float64) + PRIOR).astype(np.float32)
 
 
-def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A number per byte (and end) of the texts: it and the five before; and where each text starts."""
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number per byte (and end) of the texts: it and the five before; where each text starts; and whether the word so far is short."""
     sizes = np.array([len(t) + BACK + 1 for t in texts])
-    raw = np.frombuffer(b"".join(bytes(BACK) + t + b"\xff" for t in texts), np.uint8)
+    raw = np.frombuffer(b"".join(bytes(BACK) + t.replace(b"\0", b"\1") + b"\xff" for t in texts), np.uint8)
     w = raw.astype(np.uint64)
     packed = w[BACK:].copy()
     for j in range(1, BACK + 1):
@@ -84,7 +84,11 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     real = np.ones(len(raw), bool)
     for j in range(BACK):
         real[starts + j] = False
-    return packed[real[BACK:]], starts - BACK * np.arange(len(sizes))
+    places = np.arange(len(raw), dtype=np.int32)
+    blank = np.maximum.accumulate(np.where(BLANKS[raw] | (raw == 0), places, 0))
+    short = np.ones(len(raw), bool)
+    short[1:] = places[1:] - blank[:-1] <= BACK
+    return packed[real[BACK:]], starts - BACK * np.arange(len(sizes)), short[real]
 
 
 def word_so_far(ctx: np.ndarray) -> np.ndarray:
@@ -137,6 +141,12 @@ def lowered(column: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass").lower() for t in column.to_pylist()]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _gather(shards: int):
     """Texts -> windows with counts, by shard."""
 
@@ -149,14 +159,14 @@ def _gather(shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
+        for batch in sliced(batches):
             texts = lowered(batch.column(0))
             for lo, hi in text_blocks(texts, 1_000_000):
-                more, _ = windows(texts[lo:hi])
+                more = windows(texts[lo:hi])[0]
                 held.append(merged(more, np.ones(len(more))))
-                if sum(len(x) for x, _ in held) > 1_500_000:
+                if sum(len(x) for x, _ in held) > 800_000:
                     held = [merged(*map(np.concatenate, zip(*held, strict=True)))]
-                    if len(held[0][0]) > 750_000:
+                    if len(held[0][0]) > 400_000:
                         yield rows(*held.pop())
         if held:
             yield rows(*merged(*map(np.concatenate, zip(*held, strict=True))))
@@ -508,7 +518,7 @@ def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = list(other.difference(own))
         return pa.RecordBatch.from_arrays([pa.array([*own, *rest], pa.binary()), pa.array([*own.values(), *[0] * len(rest)], pa.int64())], names=["unit", "n"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         for held, text in zip(batch.column(0).to_pylist(), lowered(batch.column(1)), strict=True):
             found = UNITS.findall(text + b"\xff")
             if held:
@@ -553,12 +563,11 @@ def _score(model, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, logs = Tables(unpacked(model[0])), head.value
         rid = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in sliced(batches):
             texts = lowered(batch.column(2))
             for lo, hi in text_blocks(texts, 1_000_000):
                 own = texts[lo:hi]
-                w, starts = windows(own)
-                early = so_far(w) < BACK
+                w, starts, early = windows(own)
                 each = np.zeros(len(w))
                 each[early] = tables.remembered(model[1], w[early])
                 sums = np.add.reduceat(each, starts)
@@ -567,10 +576,10 @@ def _score(model, head):
                     tf = Counter(UNITS.findall(t + b"\xff"))
                     tf[b""] = 1
                     tokens.append(sum(tf.values()))
-                    found = sorted(tf.keys() & logs.keys())
-                    known.append(sum(tf[x] for x in found if logs[x][0]))
-                    base.append(sum(tf[x] * logs[x][1] for x in found))
-                    score.append((total + sum(tf[x] * logs[x][2] for x in found)) / LN10)
+                    found = [(m, *logs[x]) for x, m in tf.items() if x in logs]
+                    known.append(sum(m for m, seen, _, _ in found if seen))
+                    base.append(math.fsum(m * b for m, _, b, _ in found))
+                    score.append((total + math.fsum(m * late for m, _, _, late in found)) / LN10)
                     rest.append([{"unit": x, "tf": m} for x, m in tf.items() if x not in logs])
                 m = hi - lo
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + m)), batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(tokens, pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rest, schema.field("tail").type)], schema=schema)
