@@ -137,16 +137,23 @@ def directed_clustering(pairs: list[tuple], nodes: list) -> float:
     return float(np.mean(np.divide(closed, room, out=np.zeros(len(nodes)), where=closed > 0)))
 
 
-def graph_metrics(edge: DataFrame) -> DataFrame:
-    """Per user: diameter and mean eccentricity of the largest undirected component, assortativity, greatest betweenness, directed clustering."""
+#: What graph search tells of a graph: numbers, and the betweenness of nodes and of edges.
+MEASURES = "uid long, n long, diameter long, eccentricity double, assortativity double, max_betweenness double, clustering double, node_b array<struct<lid:long,b:double>>, edge_b array<struct<src:long,dst:long,b:double>>"
+
+
+def graph_measures(edge: DataFrame) -> DataFrame:
+    """Per user: diameter and mean eccentricity of the largest undirected component, assortativity, directed clustering, and betweenness of all nodes and edges as shares of the ordered pairs."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = list(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True))
         nodes = sorted({x for p in pairs for x in p})
         near: dict = {v: set() for v in nodes}
+        onward: dict = {v: [] for v in nodes}
         for a, b in pairs:
             near[a].add(b)
             near[b].add(a)
+            if a != b:
+                onward[a].append(b)
         seen, best = set(), []
         for s in nodes:
             if s not in seen:
@@ -158,12 +165,25 @@ def graph_metrics(edge: DataFrame) -> DataFrame:
                 seen |= part
                 best = max(best, sorted(part), key=len)
         _, _, far = brandes({v: near[v] - {v} for v in best}, best)
-        node, _, _ = brandes({v: [b for a, b in pairs if a == v and b != v] for v in nodes}, nodes)
+        node, way, _ = brandes(onward, nodes)
         n = len(nodes)
-        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+        scale, way_scale = 1 / max((n - 1) * (n - 2), 1), 1 / max(n * (n - 1), 1)
         deg = {v: len(near[v]) + (v in near[v]) for v in nodes}
-        x = np.array([(deg[a], deg[b]) for a in nodes for b in near[a]], float)
+        x = np.array([(deg[a], deg[b]) for a in best for b in near[a]], float)
         same = len(x) == 0 or x[:, 0].std() == 0
-        return pd.DataFrame([(pdf["uid"].iloc[0], n, max(far.values()), float(np.mean(list(far.values()))), None if same else float(np.corrcoef(x.T)[0, 1]), max(node.values()) * scale, directed_clustering(pairs, nodes))], columns=["uid", "n", "diameter", "eccentricity", "assortativity", "max_betweenness", "clustering"])
+        row = {"uid": pdf["uid"].iloc[0], "n": n, "diameter": max(far.values()), "eccentricity": float(np.mean(list(far.values()))), "assortativity": None if same else float(np.corrcoef(x.T)[0, 1]), "max_betweenness": max(node.values()) * scale, "clustering": directed_clustering(pairs, nodes)}
+        row["node_b"] = [{"lid": v, "b": node[v] * scale} for v in nodes]
+        row["edge_b"] = [{"src": a, "dst": b, "b": way.get((a, b), 0.0) * way_scale} for a, b in sorted(set(pairs))]
+        return pd.DataFrame([row])
+
+    return edge.groupBy("uid").applyInPandas(one, MEASURES)
+
+
+def graph_metrics(edge: DataFrame) -> DataFrame:
+    """The numbers of ``graph_measures``."""
+    return graph_measures(edge).drop("node_b", "edge_b")
+
 
-    return edge.groupBy("uid").applyInPandas(one, "uid long, n long, diameter long, eccentricity double, assortativity double, max_betweenness double, clustering double")
+def edge_betweenness(edge: DataFrame) -> DataFrame:
+    """(uid, src, dst, betweenness) of all edges."""
+    return graph_measures(edge).select("uid", F.explode("edge_b").alias("e")).select("uid", "e.src", "e.dst", F.col("e.b").alias("betweenness"))

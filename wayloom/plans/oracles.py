@@ -125,6 +125,70 @@ def _cross() -> str:
     return "select uid, " + ", ".join([f"{n(a, b)} as tot_events_type_{a}_loc{b}" for a, b in pairs] + [f"round({n(a, b)} / count(*), 6) as ptot_events_type_{a}_loc{b}" for a, b in pairs]) + " from events_v group by uid"
 
 
+KINDS, LOCATIONS = ("Q", "B", "A", "C", "stop", "start"), "012"
+WAYS = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3) if i != j]
+
+
+def _event_wide() -> str:
+    """One row of all events, one by type and one by location type for each event; a user's classes side by side."""
+    classes = ["", *[f"_{t}" for t in KINDS], *[f"_loc{p}" for p in LOCATIONS]]
+    measured = [f"{n}_{c}" for c in ("duration", "avg_acc", "max_acc", "angle") for n in ("avg", "std")]
+    rates = [f"{n}_events_per_{c}" for c in ("day", "time") for n in ("avg", "std")]
+    metrics = ["tot_events", "tot_duration", *measured, *rates]
+    rate = lambda c: f"(select uid, cls, avg(n) as avg_events_per_{c}, stddev_pop(n) as std_events_per_{c} from (select uid, cls, {c}, count(*) as n from e group by all) group by uid, cls)"
+    means = ", ".join(f"{'avg' if m[:3] == 'avg' else 'stddev_pop'}({m[4:]}) as {m}" for m in measured)
+    wide = ", ".join(f"max({m}) filter (where cls = '{s}') as {m}{s}" for s in classes for m in metrics)
+    value = lambda x, name, empty: f"round(coalesce(cast({x} as double), {empty}), 6) as {name}"
+    cols = [value(f"{m}{s}", f"{m}{s}", "0.0" if m.startswith("tot") else "-1.0") for s in classes for m in metrics]
+    cols += [value(f"{m}{s} / nullif({m}, 0)", f"{m}_p{s[1:]}", "0.0") for s in classes[1:] for m in ("tot_events", "tot_duration")]
+    cols += [value(f"{n}_events_type_{t}_loc{p}", f"{n}_events_type_{t}_loc{p}", "0.0") for n in ("tot", "ptot") for t in KINDS for p in LOCATIONS]
+    return f"""
+, e as (select *, floor(t/86400) as day, t - floor(t/86400)*86400 as time, unnest(['', '_' || event_type, '_loc' || location_type]) as cls from events_v),
+m as (select uid, cls, count(*) as tot_events, sum(duration) as tot_duration, {means} from e group by uid, cls),
+j as (select * from m join {rate("day")} using (uid, cls) join {rate("time")} using (uid, cls)),
+w as (select uid, {wide} from j group by uid), x as ({_cross()})
+select uid, {", ".join(cols)} from (select distinct uid from trips) left join w using (uid) left join x using (uid)"""
+
+
+def _imn_places() -> str:
+    """Networks of each user's halves: sizes, the three most visited places, the ways between them, events there; and the change."""
+    sums = [f"l{i}l{j}_count" for i, j in WAYS]
+    at = [(f"l{i}_{t}", f"event_type = '{t}' and b = {i}") for t in KINDS for i in (1, 2, 3)] + [(f"l{i}l{j}_{t}", f"event_type = '{t}' and a = {i} and b = {j}") for t in KINDS for i, j in WAYS]
+    counts = ", ".join(f"count(*) filter (where {c}) as {n}" for n, c in at)
+    both = lambda i: f"(l{i}_indegree + l{i}_outdegree)"
+    there = lambda i, x: f"case when nbr_locations >= {i} then {x} end"
+    row = {n: n for n in ("nbr_locations", "nbr_movements", "radius_of_gyration", "entropy", "l1_count", "l2_count", "l3_count", *sums)}
+    row |= {f"l{i}_{d}": there(i, f"l{i}_{d}") for i in (1, 2, 3) for d in ("indegree", "outdegree")}
+    row |= {f"l{i}_dcentrality": there(i, f"case when nbr_locations = 1 then 1.0 else {both(i)} / (nbr_locations - 1) end") for i in (1, 2, 3)}
+    row |= {"density": "coalesce(nbr_movements / nullif(nbr_locations * (nbr_locations - 1), 0), 0.0)", "avg_degree": "2 * u / nbr_locations", "avg_indegree": "nbr_movements / nbr_locations", "avg_outdegree": "nbr_movements / nbr_locations", "triangles": "3 * coalesce(tri, 0) / nbr_locations"}
+    row |= {n: f"coalesce({n}, 0)" for n in [n for n, _ in at] + [f"mov_entropy_{t}" for t in KINDS]}
+    entropy = "case when count(*) > 1 then -sum(p*log2(p))/log2(count(*)) else 0.0 end"
+    gone = {f"{n}{s}": x for s in ("", "_mov") for n, x in (("jaccard", "1 - count(*) filter (where p > 0 and q > 0) / count(*) filter (where p > 0 or q > 0)"), ("cosine", "1 - sum(p*q) / sqrt(sum(p*p) * sum(q*q))"))}
+    change = lambda name, src, keys, n, s: f"{name} as (select uid, count(*) filter (where q > 0) - count(*) filter (where p > 0) as delta_{n}, {gone['jaccard' + s]} as jaccard{s}, {gone['cosine' + s]} as cosine{s} from (select uid, {keys}, coalesce(sum(1.0::double) filter (where win = w0), 0) as p, coalesce(sum(1.0::double) filter (where win = w1), 0) as q from {src} join spans using (uid) group by uid, {keys}) group by uid)"
+    names = [*row, *(f"{n}{s}" for s in ("", "_mov") for n in ("jaccard", "cosine")), "delta_locations", "delta_movements"]
+    return f"""
+, tw as (select *, cast(t0 >= 1705276800.0 as bigint) as win, uid * 2 + cast(t0 >= 1705276800.0 as bigint) as k from trips),
+ew as (select uid, win, k, src as lid, lon0 as lon, lat0 as lat from tw union all select uid, win, k, dst, lon1, lat1 from tw),
+sw as (select k, lid, count(*) as support, row_number() over (partition by k order by count(*) desc, lid) as rank from ew group by k, lid),
+loc as (select k, count(*) as nbr_locations, {", ".join(f"max(support) filter (where rank = {i}) as l{i}_count" for i in (1, 2, 3))} from sw group by k),
+gy as (select k, avg({metres('lon', 'lat', 'clon', 'clat')}) as radius_of_gyration from (select *, avg(lon) over (partition by k) as clon, avg(lat) over (partition by k) as clat from ew) group by k),
+en as (select k, {entropy} as entropy from (select k, support / sum(support) over (partition by k) as p from sw) group by k),
+dg as (select k, src, dst, count(*) as weight from tw group by all),
+rk as (select dg.*, a.rank as a, b.rank as b from dg join sw a on a.k = dg.k and a.lid = dg.src join sw b on b.k = dg.k and b.lid = dg.dst),
+ways as (select k, count(*) as nbr_movements, {", ".join(f"count(*) filter (where b = {i}) as l{i}_indegree, count(*) filter (where a = {i}) as l{i}_outdegree" for i in (1, 2, 3))}, {", ".join(f"coalesce(sum(weight) filter (where a = {i} and b = {j}), 0) as l{i}l{j}_count" for i, j in WAYS)} from rk group by k),
+und as (select distinct k, least(src, dst) as x, greatest(src, dst) as y from dg), uc as (select k, count(*) as u from und group by k),
+tri as (select p.k, count(*) as tri from und p join und q on p.k = q.k and p.y = q.x join und r on r.k = p.k and r.x = p.x and r.y = q.y where p.x < p.y and q.x < q.y group by p.k),
+ev as (select r.k, event_type, dst, a.rank as a, b.rank as b from events_v e join tw r on e.uid = r.uid and e.t between r.t0 and r.t1 join sw a on a.k = r.k and a.lid = r.src join sw b on b.k = r.k and b.lid = r.dst),
+hap as (select k, {counts} from ev group by k),
+de as (select k, event_type, {entropy} as entropy from (select k, event_type, count(*) / sum(count(*)) over (partition by k, event_type) as p from ev group by k, event_type, dst) group by k, event_type),
+spread as (select k, {", ".join(f"max(entropy) filter (where event_type = '{t}') as mov_entropy_{t}" for t in KINDS)} from de group by k),
+each as (select k // 2 as uid, {", ".join(f"{x} as {n}" for n, x in row.items())} from loc join gy using (k) join en using (k) join ways using (k) join uc using (k) left join tri using (k) left join hap using (k) left join spread using (k)),
+mean as (select uid, {", ".join(f"avg({n}) as {n}" for n in row)} from each group by uid),
+spans as (select uid, min(win) as w0, max(win) as w1 from tw group by uid),
+{change("cl", "ew", "lid", "locations", "")}, {change("cm", "tw", "src, dst", "movements", "_mov")}
+select uid, {", ".join(f"round(coalesce(cast({n} as double), -1.0), 6) + 0.0 as {n}" for n in names)} from mean join cl using (uid) join cm using (uid)"""
+
+
 def all_sql() -> dict[str, str]:
     u = "((1.245e1-plon)*(lon-plon)+(4.185e1-plat)*(lat-plat))/nullif(pow(lon-plon,2)+pow(lat-plat,2),0)"
     cu = f"least(greatest({u},0.0),1.0)"
@@ -158,6 +222,8 @@ def all_sql() -> dict[str, str]:
         "event_features_type": _event_features("event_type", "type"),
         "event_features_location": _event_features("location_type", "loc"),
         "event_features_cross": _cross(),
+        "event_features_wide": _event_wide(),
+        "imn_place_features": _imn_places(),
         "event_grouping_sets": "select uid, event_type, location_type, count(*) as n_events, cast(sum(duration) as bigint) as tot_duration from events_v group by grouping sets ((uid), (uid, event_type), (uid, location_type), (uid, event_type, location_type))",
         "movement_event_stats": f"select src, dst, event_type, count(*) as n, {stats4} from events_v e join trips r on e.uid = r.uid and e.t between r.t0 and r.t1 group by src, dst, event_type",
         "od_edges": "select uid, src, dst, weight from edges",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, stats, timeparts
-from ..operators import cells, features, learning, movements, network, periods, places, trajectories, trips
+from ..operators import cells, features, learning, movements, network, periods, places, profile, trajectories, trips
 from ..sources import testdata as td
 from . import oracles
 
@@ -233,6 +233,8 @@ def _orders(s, d):
     return o.select(F.col("o_custkey").alias("uid"), F.col("o_orderkey").alias("id"), ts.alias("ts"), timeparts.month_index(ts).cast("long").alias("month"), F.col("o_orderstatus").alias("status"))
 
 
+#: Where the second half of the test positions begins, epoch seconds.
+HALF = 1705276800.0
 FIRST, LAST = 1995 * 12, 1995 * 12 + 13
 
 
@@ -263,7 +265,7 @@ def dedup_first(s, d):
 
 
 def _half(s, d, late: bool):
-    t = F.col("t") >= 1705276800.0
+    t = F.col("t") >= HALF
     p = td.positions(s, d).where(t if late else ~t)
     return p.groupBy("uid", "lid").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
 
@@ -280,7 +282,7 @@ def cross_window_match(s, d):
 
 def jaccard_cosine_change(s, d):
     t = _trips(s, d)
-    late = F.col("t0") >= 1705276800.0
+    late = F.col("t0") >= HALF
     n = network.endpoints(t).withColumn("t0", F.col("t")).groupBy("uid", "lid").agg(F.count_if(~late).alias("a"), F.count_if(late).alias("b"))
     one = F.count_if((F.col("a") > 0) & (F.col("b") > 0)) / F.count_if((F.col("a") > 0) | (F.col("b") > 0))
     cosine = F.try_divide(F.sum(F.col("a") * F.col("b")), F.sqrt(F.sum(F.col("a") * F.col("a"))) * F.sqrt(F.sum(F.col("b") * F.col("b"))))
@@ -290,7 +292,7 @@ def jaccard_cosine_change(s, d):
 def edge_change(s, d):
     """Movements of one half of the time among those of both."""
     t = _trips(s, d)
-    late = F.col("t0") >= 1705276800.0
+    late = F.col("t0") >= HALF
     n = t.groupBy("uid", "src", "dst").agg(F.count_if(~late).alias("a"), F.count_if(late).alias("b"))
     return r6(n.groupBy("uid").agg((F.count_if((F.col("a") > 0) & (F.col("b") > 0)) / F.count("*")).alias("jaccard")))
 
@@ -324,6 +326,40 @@ def graph_metrics(s, d):
     return network.graph_metrics(network.edges(_trips(s, d)))
 
 
+def graph_betweenness(s, d):
+    return r6(network.edge_betweenness(network.edges(_trips(s, d))))
+
+
+def graph_shortest_paths(s, d):
+    return r6(network.graph_metrics(network.edges(_trips(s, d))).select("uid", "diameter", "eccentricity"))
+
+
+def _windows(s, d):
+    """Trips by half of the time, and the events on them."""
+    t = _trips(s, d).withColumn("win", (F.col("t0") >= HALF).cast("long"))
+    return t, trips.interval_join(td.events(s, d), t).select("uid", "tid", "event_type").join(t.select("uid", "tid", "win", "src", "dst"), ["uid", "tid"])
+
+
+def event_features_wide(s, d):
+    return r6(profile.event_wide(_trips(s, d).select("uid"), td.events(s, d)))
+
+
+def imn_place_features(s, d):
+    return r6(profile.place_features(*_windows(s, d), 2))
+
+
+def imn_features(s, d):
+    return r6(profile.imn_features(*_windows(s, d), 2))
+
+
+def user_features(s, d):
+    """All 409 features of each user with trips, and whether the user had a crash."""
+    t = _trips(s, d)
+    passed = collective_features(s, d)
+    table = profile.joined(features.trip_features(t), profile.event_wide(t.select("uid"), td.events(s, d)), profile.imn_features(*_windows(s, d), 2), passed)
+    return r6(profile.labelled(table, td.crashes(s, d)))
+
+
 #: Positions that make a cell a node of the tree.
 NODE = 50
 
@@ -409,7 +445,7 @@ _ALL = (
     event_features_cross, event_grouping_sets, movement_event_stats, od_edges, location_support_rank, next_location_entropy, radius_of_gyration,
     iqr_movement_stats, support_knee, stay_durations, stay_minute_hist, stay_minute_share, timeslot_day_counts, month_pair_windows, sliding_periods,
     period_labels, anti_join_users, first_event_per_month, dedup_first, nearest_center, cross_window_match, jaccard_cosine_change, graph_degree_density,
-    graph_triangles, graph_metrics, collective_features, minmax_scale, deviation_from_mean, quantile_bins,
+    graph_triangles, graph_metrics, graph_betweenness, graph_shortest_paths, collective_features, event_features_wide, imn_place_features, imn_features, user_features, minmax_scale, deviation_from_mean, quantile_bins,
     user_movement_stats, travel_minute_hist, movement_slot_days, first_seen_movements, regular_gyration_entropy, support_share, event_destination_entropy,
     top_place_events, finite_speeds, edge_change, first_last_month, train_test_pairs, near_months,
     regular_locations, tosca_locations, kmeans_cells, trajectory_medoid, trajectory_inclusion, smote, risk_score,
