@@ -69,7 +69,6 @@ LN10 = float(np.log(10))
 #: Windows whose scores a task remembers, as a power of two.
 MEMORY = 21
 CHUNK = 1 << 16
-LOG = np.log(np.arange(1 << 16, dtype=np.float64) + PRIOR).astype(np.float32)
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,30 +100,32 @@ def word_so_far(ctx: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Of each byte (256, 8): its bits so far behind a leading one, and the bits.
+NODES = ((np.arange(256)[:, None] | 256) >> np.arange(8, 0, -1)).astype(np.uint64)
+BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(bool)
+
+
 def nodes(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(windows, 8): the bits of each byte so far behind a leading one, and the bits."""
-    byte, shifts = byte.astype(np.int64), np.arange(8, 0, -1)
-    return ((byte[:, None] | 256) >> shifts).astype(np.uint64), ((byte[:, None] >> (shifts - 1)) & 1).astype(bool)
+    at = byte.astype(np.int64)
+    return NODES[at], BITS[at]
 
 
 def hashed(ctx: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     return ((mixed(ctx)[:, None] ^ (node * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
 
 
-def slots(w: np.ndarray, orders: Iterable[int] = range(ORDERS)) -> tuple[np.ndarray, np.ndarray]:
-    """(orders, windows, 8) slot numbers, and the (windows, 8) bits."""
-    node, bits = nodes(w & np.uint64(255))
+def context(w: np.ndarray, k: int) -> np.ndarray:
+    """The windows' bytes of context ``k``."""
     before = w >> np.uint64(8)
-    out = np.empty((len(orders), len(w), 8), np.uint32)
-    for i, k in enumerate(orders):
-        if k == 0:
-            out[i] = node
-        elif k == 1:
-            out[i] = ((before & np.uint64(255))[:, None] << np.uint64(8)) | node
-        else:
-            ctx = word_so_far(before) if CONTEXTS[k] > BACK else before & np.uint64((1 << 8 * CONTEXTS[k]) - 1)
-            out[i] = hashed(ctx * np.uint64(256) + np.uint64(k), node, SLOTS[k])
-    return out, bits
+    return word_so_far(before) if CONTEXTS[k] > BACK else before & np.uint64((1 << 8 * CONTEXTS[k]) - 1)
+
+
+def slots(ctx: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
+    """(windows, 8) slot numbers of context ``k``."""
+    if k < 2:
+        return ((ctx[:, None] << np.uint64(8)) | node).view(np.int64)
+    return hashed(ctx * np.uint64(256) + np.uint64(k), node, SLOTS[k]).view(np.int64)
 
 
 def merged(w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,10 +214,12 @@ def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, n = np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)
             for k in range(ORDERS):
                 found, sums = np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
-                for lo in range(0, len(w), 200_000):
-                    s, bits = slots(w[lo : lo + 200_000], (k,))
-                    codes, own = pd.factorize(s[0].ravel())
-                    times, ones = np.repeat(n[lo : lo + 200_000], 8).astype(np.float64), bits.ravel()
+                seen, times_seen = merged(context(w, k) << np.uint64(8) | w & np.uint64(255), n)
+                for lo in range(0, len(seen), 200_000):
+                    keys = seen[lo : lo + 200_000]
+                    node, bits = nodes(keys & np.uint64(255))
+                    codes, own = pd.factorize(slots(keys >> np.uint64(8), node, k).ravel())
+                    times, ones = np.repeat(times_seen[lo : lo + 200_000], 8).astype(np.float64), bits.ravel()
                     part = np.stack([np.bincount(codes, times * (ones == y), len(own)) for y in (0, 1)]).astype(np.int64)
                     codes, every = pd.factorize(np.concatenate([found, own.astype(np.int64)]))
                     both = np.concatenate([sums, part], 1)
@@ -249,13 +252,17 @@ class Mixer:
         self.weights[:, -1] = 0.6
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("knb,nbk->nb", x, self.weights.astype(np.float32)[gate]), -11, 11)
+        w = self.weights.T.astype(np.float32)
+        out = x[0] * w[0].take(gate)
+        for k in range(1, ORDERS):
+            out += x[k] * w[k].take(gate)
+        return np.clip(out, -11, 11)
 
     def places(self, node: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The map's lower entry for (bits so far, t), and how far t lies towards the next."""
-        u = (t + 12) * 1.5
-        low = u.astype(np.int64)
-        return node.astype(np.int64) * STEPS + low, u - low
+        u = (t + np.float32(12)) * np.float32(1.5)
+        low = u.astype(np.int32)
+        return node.astype(np.int64) * STEPS + low, u - low.astype(np.float32)
 
     def log_p(self, x: np.ndarray, gate: np.ndarray, node: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """Natural log probability of each byte."""
@@ -285,22 +292,25 @@ class Learner:
         for far_lo in range(0, len(order), 20 * size):
             block = order[far_lo : far_lo + 20 * size]
             every = inputs(block)
+            before = np.empty(every[3].shape, np.float32)
             for lo in range(0, len(block), size):
                 own = slice(lo, lo + size)
                 x, gate, node, bits = every[0][:, own], *(e[own] for e in every[1:])
-                mix = m.mix(x, gate)
+                before[own] = mix = m.mix(x, gate)
                 times = np.broadcast_to(n[block[own], None], bits.shape).astype(np.float64)
-                if self.fill:
-                    at, far = m.places(node, mix)
-                    for move, part in ((0, 1 - far), (1, far)):
-                        sums[1] += np.bincount((at + move).ravel(), (times * part).ravel(), MAP)
-                        sums[0] += np.bincount((at + move).ravel(), (times * part * bits).ravel(), MAP)
                 err = (bits - 1 / (1 + np.exp(-mix))) * times
                 mass = np.bincount(gate.ravel(), times.ravel(), GATES)
-                grad = np.stack([np.bincount(gate.ravel(), (err * x[k]).ravel(), GATES) for k in range(ORDERS)], 1) / np.maximum(mass, 1)[:, None]
+                each = (gate[None] + GATES * np.arange(ORDERS)[:, None, None]).ravel()
+                grad = np.bincount(each, (err[None] * x).ravel(), GATES * ORDERS).reshape(ORDERS, GATES).T / np.maximum(mass, 1)[:, None]
                 speed += grad**2
                 m.weights = m.weights + RATE * grad / np.sqrt(speed)
                 seen += mass
+            if self.fill:
+                at, far = m.places(every[2], before)
+                times = np.broadcast_to(n[block, None], at.shape).astype(np.float64)
+                for move, part in ((0, 1 - far), (1, far)):
+                    sums[1] += np.bincount((at + move).ravel(), (times * part).ravel(), MAP)
+                    sums[0] += np.bincount((at + move).ravel(), (times * part * every[3]).ravel(), MAP)
         self.total += np.round(np.concatenate([(m.weights * seen[:, None]).ravel(), seen, sums.ravel()]) * UNIT).astype(np.int64)
 
     def rows(self) -> pa.RecordBatch:
@@ -326,10 +336,10 @@ def learned(rows: DataFrame, start: Mixer) -> Mixer:
 
 def stretched(n0: np.ndarray, n1: np.ndarray, bits: np.ndarray, unseen: bool) -> tuple[np.ndarray, np.ndarray]:
     """Stretched probability of a one, and how often the slot was seen; unseen: without the bit itself, once."""
+    n0, n1 = np.minimum(n0, 65535).astype(np.float32), np.minimum(n1, 65535).astype(np.float32)
     if unseen:
-        n0 = n0 - ((~bits) & (n0 > 0))
-        n1 = n1 - (bits & (n1 > 0))
-    return LOG[np.minimum(n1, 65535)] - LOG[np.minimum(n0, 65535)], n0 + n1
+        n0, n1 = np.maximum(n0 - ~bits, 0, dtype=np.float32), np.maximum(n1 - bits, 0, dtype=np.float32)
+    return np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR))), n0 + n1
 
 
 class Tables:
@@ -341,15 +351,15 @@ class Tables:
 
     def inputs(self, w: np.ndarray, unseen: bool, orders: Iterable[int] = range(ORDERS)) -> tuple[np.ndarray, ...]:
         """(orders, n, 8) stretched probabilities, (n, 8) gates, nodes and bits of windows."""
-        s, bits = slots(w, orders)
+        node, bits = nodes(w & np.uint64(255))
         x, top = np.zeros((ORDERS, *bits.shape), np.float32), np.zeros(bits.shape, np.int64)
-        for i, k in enumerate(orders):
-            n = self.counts[k][s[i]]
+        for k in orders:
+            n = self.counts[k].take(slots(context(w, k), node, k))
             x[k], seen = stretched(n & np.uint32(0xFFFF), n >> np.uint32(16), bits, unseen)
-            top[seen > 0] = k
+            np.copyto(top, k, where=seen > 0)
         if len(orders) == ORDERS:  # the last context is the word so far
             top = so_far(w)[:, None] * OFTEN + np.searchsorted(LEVELS, seen, side="right")
-        return x, top * 8 + np.arange(8), s[0], bits
+        return x, top * 8 + np.arange(8), node, bits
 
     def log_p(self, mixer: Mixer, w: np.ndarray) -> np.ndarray:
         return np.concatenate([np.zeros(0), *[mixer.log_p(*self.inputs(w[lo : lo + 50_000], False)) for lo in range(0, len(w), 50_000)]])
@@ -571,7 +581,7 @@ def _score(model, head):
                 each = np.zeros(len(w))
                 each[early] = tables.remembered(model[1], w[early])
                 sums = np.add.reduceat(each, starts)
-                tokens, known, base, score, rest = [], [], [], [], []
+                tokens, known, base, score, cut, unit, times = [], [], [], [], [0], [], []
                 for t, total in zip(own, sums.tolist(), strict=True):
                     tf = Counter(UNITS.findall(t + b"\xff"))
                     tf[b""] = 1
@@ -580,9 +590,14 @@ def _score(model, head):
                     known.append(sum(m for m, seen, _, _ in found if seen))
                     base.append(math.fsum(m * b for m, _, b, _ in found))
                     score.append((total + math.fsum(m * late for m, _, _, late in found)) / LN10)
-                    rest.append([{"unit": x, "tf": m} for x, m in tf.items() if x not in logs])
+                    for x, m in tf.items():
+                        if x not in logs:
+                            unit.append(x)
+                            times.append(m)
+                    cut.append(len(unit))
                 m = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + m)), batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(tokens, pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rest, schema.field("tail").type)], schema=schema)
+                rest = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([pa.array(unit, pa.binary()), pa.array(times, pa.int64())], fields=list(schema.field("tail").type.value_type)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + m)), batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(tokens, pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), rest], schema=schema)
                 rid += m
 
     return run
