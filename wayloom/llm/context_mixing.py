@@ -32,11 +32,11 @@ and every token is unknown; an empty table gives an empty table; other columns a
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -57,7 +57,10 @@ ORDERS = len(SLOTS)
 END = 0xFF
 #: Training tokens a shard of windows stands for, and bytes of units that a task joins at a time.
 SHARD, CHUNK_BYTES = 500_000, 100_000
-HEAD = 100_000
+#: Units that make a HEAD-th of all tokens are sent to all tasks: at most HEAD of them, and HEAD times the mean token in bytes.
+HEAD = 500_000
+#: Distinct units that a counting task holds.
+HELD = 400_000
 PRIOR, RATE, BATCH, PASSES = 0.05, 0.1, 256, 1
 #: Gates: how long the word so far is and how often it was seen; for later bytes how often, or the longest context if never; times the bit's place.
 LEVELS = np.array([1, 2, 4, 8, 24, 100])
@@ -537,7 +540,7 @@ def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 own.update(found)
                 own[b""] += 1
-            if len(own) + len(other) > 200_000:
+            if len(own) + len(other) > HELD:
                 yield rows()
                 own.clear()
                 other.clear()
@@ -571,7 +574,7 @@ def _score(model, head):
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.struct([("unit", pa.binary()), ("tf", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, logs = Tables(unpacked(model[0])), head.value
+        tables, (place, seen, base_of, late_of) = Tables(unpacked(model[0])), head.value
         rid = TaskContext.get().partitionId() << 33
         for batch in sliced(batches):
             texts = lowered(batch.column(2))
@@ -581,23 +584,22 @@ def _score(model, head):
                 each = np.zeros(len(w))
                 each[early] = tables.remembered(model[1], w[early])
                 sums = np.add.reduceat(each, starts)
-                tokens, known, base, score, cut, unit, times = [], [], [], [], [0], [], []
-                for t, total in zip(own, sums.tolist(), strict=True):
+                units, times, cut = [], [], [0]
+                for t in own:
                     tf = Counter(UNITS.findall(t + b"\xff"))
                     tf[b""] = 1
-                    tokens.append(sum(tf.values()))
-                    found = [(m, *logs[x]) for x, m in tf.items() if x in logs]
-                    known.append(sum(m for m, seen, _, _ in found if seen))
-                    base.append(math.fsum(m * b for m, _, b, _ in found))
-                    score.append((total + math.fsum(m * late for m, _, _, late in found)) / LN10)
-                    for x, m in tf.items():
-                        if x not in logs:
-                            unit.append(x)
-                            times.append(m)
-                    cut.append(len(unit))
+                    units += tf.keys()
+                    times += tf.values()
+                    cut.append(len(units))
+                at = np.fromiter(map(place.get, units, repeat(-1)), np.int64, len(units))  # the last place holds zeros
+                tf, first = np.array(times, np.int64), np.array(cut[:-1])
+                tokens, known, base, late = (np.add.reduceat(x, first) for x in (tf, tf * seen[at], tf * base_of[at], tf * late_of[at]))
+                score = (sums + late) / LN10
+                far = np.flatnonzero(at < 0)
+                rest = [pa.array([units[i] for i in far.tolist()], pa.binary()), pa.array(tf[far])]
+                tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(far, cut), pa.int32()), pa.StructArray.from_arrays(rest, fields=list(schema.field("tail").type.value_type)))
                 m = hi - lo
-                rest = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([pa.array(unit, pa.binary()), pa.array(times, pa.int64())], fields=list(schema.field("tail").type.value_type)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + m)), batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(tokens, pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), rest], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + m)), batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(tokens, pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), tail], schema=schema)
                 rid += m
 
     return run
@@ -616,9 +618,11 @@ def score(docs: DataFrame) -> DataFrame:
     model = train(d.where("not held_out").select("text"), chunks, n_train)
     words = materialize(chunks.mapInArrow(_score_words(model), "unit binary, n long, c long, tail double, lead boolean"))
     n_known = words.where("lead").count()
-    # At most HEAD units can have a HEAD-th of all tokens each.
     floor = n_train + 0.5 * (n_known + 1)
-    head = spark.sparkContext.broadcast({bytes(r.unit): (r.c > 0, math.log10((r.c + 0.5) / floor), r.tail) for r in words.where(F.col("n") * HEAD > n_train).select("unit", "c", "tail").collect()})
+    often = words.where(F.col("n") * HEAD > n_train).select("unit", "c", "tail").toArrow()
+    c, late = (often.column(k).to_numpy() for k in (1, 2))
+    zero = np.zeros(1)
+    head = spark.sparkContext.broadcast(({u: i for i, u in enumerate(often.column(0).to_pylist())}, np.append(c > 0, False), np.append(np.log10((c + 0.5) / floor), zero), np.append(late, zero)))
     rows = materialize(d.mapInArrow(_score(model, head), "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, tail array<struct<unit:binary,tf:long>>"))
     tail = rows.select("rid", F.explode("tail").alias("x")).select("rid", "x.unit", "x.tf")
     each = tail.join(words.select("unit", "c", F.col("tail").alias("late")), "unit")
