@@ -72,25 +72,31 @@ LN10 = float(np.log(10))
 #: Windows whose scores a task remembers, as a power of two.
 MEMORY = 21
 CHUNK = 1 << 16
+#: White space, and what stands before a text.
+BREAKS = BLANKS | (np.arange(256) == 0)
 
 
-def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A number per byte (and end) of the texts: it and the five before; where each text starts; and whether the word so far is short."""
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A number per byte (and end) of the texts: it and the five before; where each text starts; all bytes, each text behind five zeros, and which are no such zeros."""
     sizes = np.array([len(t) + BACK + 1 for t in texts])
-    raw = np.frombuffer(b"".join(bytes(BACK) + t.replace(b"\0", b"\1") + b"\xff" for t in texts), np.uint8)
-    w = raw.astype(np.uint64)
-    packed = w[BACK:].copy()
-    for j in range(1, BACK + 1):
-        packed |= w[BACK - j : len(w) - j] << np.uint64(8 * j)
+    packed = b"\0\0" + b"".join(bytes(BACK) + t.replace(b"\0", b"\1") + b"\xff" for t in texts)
+    raw = np.frombuffer(packed, np.uint8, offset=2)
+    # Eight bytes from every place on, of which the last six are the window.
+    w = np.ndarray(len(raw) - BACK, ">u8", packed, strides=(1,)).astype(np.uint64) & np.uint64((1 << 8 * (BACK + 1)) - 1)
     starts = np.cumsum(sizes) - sizes
     real = np.ones(len(raw), bool)
     for j in range(BACK):
         real[starts + j] = False
+    return w[real[BACK:]], starts - BACK * np.arange(len(sizes)), raw, real
+
+
+def in_short_words(raw: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """Of the bytes of ``windows``, whether at most BACK bytes lie between them and the last white space or start."""
     places = np.arange(len(raw), dtype=np.int32)
-    blank = np.maximum.accumulate(np.where(BLANKS[raw] | (raw == 0), places, 0))
+    blank = np.maximum.accumulate(np.where(BREAKS[raw], places, 0))
     short = np.ones(len(raw), bool)
     short[1:] = places[1:] - blank[:-1] <= BACK
-    return packed[real[BACK:]], starts - BACK * np.arange(len(sizes)), short[real]
+    return short[real]
 
 
 def word_so_far(ctx: np.ndarray) -> np.ndarray:
@@ -131,9 +137,12 @@ def slots(ctx: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
     return hashed(ctx * np.uint64(256) + np.uint64(k), node, SLOTS[k]).view(np.int64)
 
 
-def merged(w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    codes, uniq = pd.factorize(w)
-    return uniq, np.bincount(codes, n, len(uniq)).astype(np.int64)
+def merged(w: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows in order and the sums of their counts, one each if none are given; sorted runs are merged."""
+    order = None if n is None else np.argsort(w, kind="stable")
+    w = np.sort(w) if n is None else w[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(w), 1), bool), w[1:] != w[:-1]]))
+    return w[first], np.diff(np.append(first, len(w))) if n is None else np.add.reduceat(n[order], first) if len(w) else n
 
 
 def shard_of(w: np.ndarray, shards: int) -> np.ndarray:
@@ -167,7 +176,7 @@ def _gather(shards: int):
             texts = lowered(batch.column(0))
             for lo, hi in text_blocks(texts, 1_000_000):
                 more = windows(texts[lo:hi])[0]
-                held.append(merged(more, np.ones(len(more))))
+                held.append(merged(more))
                 if sum(len(x) for x, _ in held) > 800_000:
                     held = [merged(*map(np.concatenate, zip(*held, strict=True)))]
                     if len(held[0][0]) > 400_000:
@@ -196,8 +205,7 @@ def _join_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, w, n = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def row() -> pa.RecordBatch:
-        order = np.argsort(w)
-        return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([w[order].tobytes()], pa.binary()), pa.array([n[order].tobytes()], pa.binary())], names=["shard", "w", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([w.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["shard", "w", "n"])
 
     for batch in batches:
         for shard, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -217,7 +225,8 @@ def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, n = np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)
             for k in range(ORDERS):
                 found, sums = np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
-                seen, times_seen = merged(context(w, k) << np.uint64(8) | w & np.uint64(255), n)
+                codes, seen = pd.factorize(context(w, k) << np.uint64(8) | w & np.uint64(255))
+                times_seen = np.bincount(codes, n, len(seen)).astype(np.int64)
                 for lo in range(0, len(seen), 200_000):
                     keys = seen[lo : lo + 200_000]
                     node, bits = nodes(keys & np.uint64(255))
@@ -580,7 +589,8 @@ def _score(model, head):
             texts = lowered(batch.column(2))
             for lo, hi in text_blocks(texts, 1_000_000):
                 own = texts[lo:hi]
-                w, starts, early = windows(own)
+                w, starts, raw, real = windows(own)
+                early = np.flatnonzero(in_short_words(raw, real))
                 each = np.zeros(len(w))
                 each[early] = tables.remembered(model[1], w[early])
                 sums = np.add.reduceat(each, starts)
