@@ -90,6 +90,33 @@ def test_components_with_small_limits(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), least[i]) for i, s in enumerate(sets)}
 
 
+def test_large_family_of_unlinked_texts(spark, monkeypatch):
+    """Texts that only share a passage are not copied to the cells of all pivots; links among them are found, with byte limits too."""
+    random.seed(8)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join([*(f"w{i}x{j}" for j in range(30)), *passage]) for i in range(300)]
+    for i in range(40):
+        near = texts[i].split()
+        near[0] = "other"
+        texts.append(" ".join(near))
+    for limits in ({"BIG": 30, "CELL": 8, "LEAF": 10}, {"BYTES": 4000, "LEAF": 10}):
+        made = []
+
+        def counted(df, *more, made=made, write=jaccard_join.materialize):
+            out = write(df, *more)
+            if {"f", "p"} <= set(df.columns):
+                made.append(out.count())
+            return out
+
+        with monkeypatch.context() as m:
+            for k, v in limits.items():
+                m.setattr(jaccard_join, k, v)
+            m.setattr(jaccard_join, "materialize", counted)
+            got = jaccard_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 85).collect()
+        assert {r.doc_id: r.component_id for r in got} == {i: i - 300 if i >= 300 else i for i in range(340)}
+        assert sum(made) <= 4 * len(texts)
+
+
 def shared_ids():
     """Many texts under one id and under null, with near copies under other ids, copies, and empty texts."""
     random.seed(5)

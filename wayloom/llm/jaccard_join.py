@@ -15,7 +15,10 @@ third point. Documents with equal shingle sets are one point. The join descends:
    pivot is at most 2 r farther, which is as far as a link can reach. Cells are joined
    the same way, down to cells that are compared outright by counting common shingles
    over inverted lists. A cell that is hardly smaller than its parent is compared so too.
-4. Large families are split that way between tasks; where cells don't get smaller, into
+4. Large families are first taken apart by their rarest shingles: linked sets of n share
+   one of the p rarest of each, p as in ``reach``, rare counted in the family. What texts
+   merely have in common (passages, tables) no longer holds them together. Families that
+   stay large are split by pivots between tasks; where cells don't get smaller, into
    pairs of blocks. The others are joined in memory, one by one.
 
 Only the links of a spanning forest leave a family, at most one a point.
@@ -30,6 +33,7 @@ and shingles are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +48,8 @@ from .shingles import shingle_sets
 NO_ID = -(2**63)
 #: Points that one task joins in memory, points a pivot of a larger family stands for, and points compared outright.
 BIG, CELL, LEAF = 4000, 1000, 256
+#: Bytes of sets that one task joins in memory, and pivots that a family is split by at a time.
+BYTES, PIVOTS = 64_000_000, 16
 
 
 def reach(n: int, pct: int) -> tuple[int, int]:
@@ -105,14 +111,17 @@ class Forest:
 
 
 def compare_all(own: list[int], sets: list[np.ndarray], pct: int, forest: Forest) -> None:
-    """Links among the points, by counting common shingles over inverted lists."""
+    """Links among the points, by counting common shingles over inverted lists; points that links join already need none among them."""
+    roots = [forest.root(x) for x in own]
+    most = Counter(roots).most_common(1)[0][0]
+    own = [x for x, r in zip(own, roots, strict=True) if r == most] + [x for x, r in zip(own, roots, strict=True) if r != most]
     size = np.array([len(sets[x]) for x in own])
     _, codes = np.unique(np.concatenate([sets[x] for x in own]), return_inverse=True)
     points = np.repeat(np.arange(len(own)), size)
     order = np.argsort(codes, kind="stable")
     lists, ends = points[order], np.searchsorted(codes[order], np.arange(codes.max() + 2))
     start = np.concatenate([[0], np.cumsum(size)])
-    for i in range(1, len(own)):
+    for i in range(roots.count(most), len(own)):
         c = codes[start[i] : start[i + 1]]
         lo, n = ends[c], ends[c + 1] - ends[c]
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
@@ -133,13 +142,16 @@ def cells(d: np.ndarray, pct: int) -> np.ndarray:
 
 def join_points(own: list[int], sets: list[np.ndarray], pct: int, forest: Forest, depth: int = 0) -> None:
     if len(own) > LEAF:
-        pivots = [sets[own[k * len(own) // 8]] for k in range(8)]
-        taken = cells(np.array([distances(sets[x], pivots) for x in own]), pct)
+        heads = [own[k * len(own) // 8] for k in range(8)]
+        far = np.array([distances(sets[x], [sets[h] for h in heads]) for x in own])
+        taken = cells(far, pct)
         # A point is compared with all of a cell, so smaller cells pay off only while their squares sum to less.
         if (taken.sum(0).astype(float) ** 2).sum() < 0.8 * len(own) ** 2:
             for k in range(8):
                 join_points([x for x, t in zip(own, taken[:, k], strict=True) if t], sets, pct, forest, depth + 1)
             return
+        for i, k in np.argwhere(far <= 1 - pct / 100 - 1e-9).tolist():  # those at the very bound are compared
+            forest.join(own[i], heads[k])
     if len(own) > 1:
         compare_all(own, sets, pct, forest)
 
@@ -183,47 +195,81 @@ def _split(pct: int):
                     pivots.append(np.frombuffer(s, np.uint64))
                 elif pivots:
                     d = distances(np.frombuffer(s, np.uint64), pivots)[None]
-                    out += [(f, names[k], a, s) for k in np.flatnonzero(cells(d, pct)[0])]
+                    out += [(f, names[k], a) for k in np.flatnonzero(cells(d, pct)[0])]
                 else:
-                    out.append((f, 0, a, s))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], names=["f", "p", "a", "s"])
+                    out.append((f, 0, a))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["f", "p", "a"])
 
     return run
 
 
+def _spread(pct: int):
+    """Points -> their size, how many of their rarest shingles are looked at, and all shingles."""
+    schema = pa.schema([("f", pa.int64()), ("a", pa.int64()), ("n", pa.int64()), ("p", pa.int64()), ("h", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                sets = [np.frombuffer(s, np.int64) for s in part.column(2).to_pylist()]
+                n = [len(s) for s in sets]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                p = [m - -(-pct * m // 100) + 1 for m in n]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(p, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], schema=schema)
+
+    return run
+
+
+def refined(points: DataFrame, pct: int) -> DataFrame:
+    """(f, a, s), each point in one family -> the same with smaller families, by the rarest shingles; points linked with nothing go."""
+    flat = points.select("f", "a", "s").mapInArrow(_spread(pct), "f long, a long, n long, p long, h array<long>").select("f", "a", "n", "p", F.explode("h").alias("h"))
+    often = flat.groupBy("f", "h").agg(F.count("*").alias("m")).where("m > 1")
+    own = Window.partitionBy("a")
+    # Shingles that a point shares with none of its family are its rarest.
+    held = flat.join(often, ["f", "h"]).withColumns({"all": F.count("*").over(own), "k": F.row_number().over(own.orderBy("m", "h"))})
+    held = materialize(held.where("n - all + k <= p").select("f", "h", "a"))
+    near = held.join(held.groupBy("f", "h").agg(F.min("a").alias("b")), ["f", "h"]).where("a != b").select("a", "b").distinct()
+    return components(near).select(F.col("c").alias("f"), F.col("v").alias("a")).join(points.select("a", "s"), "a").select("f", "a", "s")
+
+
 def _sized(points: DataFrame) -> DataFrame:
-    return points.join(points.groupBy("f").agg(F.count("*").alias("m")), "f")
+    return points.join(points.groupBy("f").agg(F.count("*").alias("m"), F.sum(F.length("s")).alias("w")), "f")
 
 
 def family_links(points: DataFrame, pct: int) -> DataFrame:
-    """(f, a, s): families of points with their sets -> links that span each component."""
+    """(f, a, s): families of points with their sets, each point in one -> links that span each component."""
     spark = points.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small, todo, turn = [], points, 0
     while True:
         todo = materialize(_sized(todo))
-        small.append(todo.where(f"m <= {BIG}").select("f", "a", "s"))
-        large = todo.where(f"m > {BIG}")
+        fits = f"m <= {BIG} and w <= {BYTES}"
+        small.append(todo.where(fits).select("f", "a", "s"))
+        large = todo.where(f"not ({fits})")
         if large.isEmpty():
             break
         turn += 1
-        blocks = F.ceil(F.col("m") / CELL).cast("long")
-        mark = F.pmod(F.xxhash64("a", F.lit(turn)), blocks * 1000)
-        pivots = large.where(mark % F.lit(CELL) == 0).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select("f", "block", F.lit(0).alias("point"), "a", "s")
+        if turn == 1:
+            todo = refined(large, pct)
+            continue
+        blocks = F.ceil(F.greatest(F.col("m") / CELL, F.col("w") * 4 / BYTES)).cast("long")
+        heads = F.least(blocks, F.lit(PIVOTS))
+        pivot = F.pmod(F.xxhash64("a", F.lit(turn)), F.col("m")) < heads
+        pivots = large.where(pivot).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select("f", "block", F.lit(0).alias("point"), "a", "s")
         own = large.select("f", F.pmod(F.xxhash64("a", F.lit(-turn)), blocks).alias("block"), F.lit(1).alias("point"), "a", "s")
         dealt = pivots.union(own).repartition(parts, "f", "block").sortWithinPartitions("f", "block", "point", "a")
-        cut = materialize(dealt.mapInArrow(_split(pct), "f long, p long, a long, s binary"))
+        cut = materialize(dealt.mapInArrow(_split(pct), "f long, p long, a long"))
         size = cut.groupBy("f", "p").agg(F.count("*").alias("n")).join(large.groupBy("f").agg(F.first("m").alias("m")), "f")
         # Families whose cells stay large are cut into pairs of blocks instead; this ends.
-        slow = size.groupBy("f").agg(F.sum(F.col("n") * F.col("n")).alias("q"), F.first("m").alias("m")).where("q >= 0.8 * m * m").select("f")
-        halves = F.ceil(F.col("m") / (BIG // 2)).cast("int")
+        slow = materialize(size.groupBy("f").agg(F.sum(F.col("n") * F.col("n")).alias("q"), F.first("m").alias("m")).where("q >= 0.8 * m * m").select("f"))
+        halves = F.ceil(F.greatest(F.col("m") * 2 / BIG, F.col("w") * 2 / BYTES)).cast("int")
         b = F.pmod(F.xxhash64("a", F.lit(0)), halves).cast("int")
         other = F.explode(F.sequence(F.lit(0), halves - 1)).alias("o")
         pairs = large.join(slow, "f", "left_semi").select("f", "a", "s", b.alias("b"), other)
         pairs = pairs.select(F.xxhash64("f", F.least("b", "o"), F.greatest("b", "o"), F.lit("blocks")).alias("f"), "a", "s")
         small.append(pairs)
-        todo = cut.join(slow, "f", "left_anti").select(F.xxhash64("f", "p").alias("f"), "a", "s")
+        todo = cut.join(slow, "f", "left_anti").join(large.select("f", "a", "s"), ["f", "a"]).select(F.xxhash64("f", "p").alias("f"), "a", "s")
     every = small[0]
     for x in small[1:]:
         every = every.union(x)
