@@ -144,6 +144,23 @@ def test_ride_candidates(spark):
     assert len(want) > 20 and len(got) == len(set(got)) and want <= set(got) and len(got) < 160 * 159 / 4
 
 
+def test_rides_in_blocks(spark, monkeypatch):
+    """Rides of a crowded day without a row for each pair, over blocks of ways; segments without length too."""
+    monkeypatch.setattr(tr, "BLOCK", 12)
+    rng, trips = np.random.RandomState(6), []
+    for uid in range(90):
+        lo, hi = sorted(rng.uniform(0, 0.05, 2)) if uid % 3 else (0.0, 0.05)
+        way = np.array([(12.5 + x, 41.9 + rng.uniform(-0.001, 0.001), 30000.0 + 40000 * rng.rand() * (uid % 2) + 60 * k) for k, x in enumerate(np.linspace(lo, hi, 5))])
+        trips.append((uid % 2, uid // 2, uid, np.insert(way, 3, way[3 + uid % 2], 0) if uid % 5 == 0 else way))
+    rows = [(d, 0, u, k, [(float(t), i, float(x), float(y)) for i, (x, y, t) in enumerate(w)]) for d, u, k, w in trips]
+    frame = spark.createDataFrame(rows, "day long, cell long, uid long, tid long, points array<struct<t: double, pid: int, lon: double, lat: double>>")
+    out = tr.rides(frame, 500.0, 14400.0)
+    got = [(r.a_uid, r.a_tid, r.b_uid, r.b_tid) for r in out.collect()]
+    want = every_ride(trips, 500.0, 14400.0)
+    assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString().replace("BroadcastHashJoin", "")
+
+
 def test_cuts():
     way = line(12.5, 12.51, 12.52, 12.53)
     assert tr.between(way, 60, 120)[:, 2].tolist() == [60, 120] and tr.between(way, 500, 600) is None

@@ -27,13 +27,12 @@ def pairwise(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> np.ndar
 
 
 def project(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The points of the segments a-b (n, 3) nearest to p in the plane, with time by distance gone; p where a segment has no length."""
+    """The points of the segments a-b (n, 3) nearest to p (one, or one each) in the plane, with time by distance gone; p where a segment has no length."""
     d = b[:, :2] - a[:, :2]
     size = (d**2).sum(1)
-    u = ((p[:2] - a[:, :2]) * d).sum(1) / np.where(size > 0, size, 1)
+    u = ((p[..., :2] - a[:, :2]) * d).sum(1) / np.where(size > 0, size, 1)
     at = a[:, :2] + np.clip(u, 0, 1)[:, None] * d
     whole, gone = metres(a, b), metres(a, at)
     t = a[:, 2] + (b[:, 2] - a[:, 2]) * np.where(whole > 0, gone / np.where(whole > 0, whole, 1), 0)
     out = np.column_stack([at, np.where(u < 0, a[:, 2], np.where(u > 1, b[:, 2], t))])
-    out[size == 0] = p
-    return out
+    return np.where((size == 0)[:, None], p, out)

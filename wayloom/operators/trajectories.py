@@ -209,11 +209,15 @@ def _code(row: np.ndarray, col: np.ndarray) -> np.ndarray:
     return row * (1 << 32) + col
 
 
-def cell_of(p: np.ndarray, reach_m: float) -> int:
-    """The grid cell of a place, twice the reach tall."""
+def cells_of(p: np.ndarray, reach_m: float) -> np.ndarray:
+    """The grid cells of places, twice the reach tall."""
     tall = math.degrees(2 * reach_m / geo.RADIUS_M)
-    row = np.floor(p[1:2] / tall).astype(np.int64)
-    return int(_code(row, _columns((p[:1] + 180) % 360 - 180, row, tall))[0])
+    row = np.floor(p[:, 1] / tall).astype(np.int64)
+    return _code(row, _columns((p[:, 0] + 180) % 360 - 180, row, tall))
+
+
+def cell_of(p: np.ndarray, reach_m: float) -> int:
+    return int(cells_of(p[None], reach_m)[0])
 
 
 def way_cells(way: np.ndarray, reach_m: float) -> np.ndarray:
@@ -270,17 +274,90 @@ def ride_candidates(ways: DataFrame, space_m: float) -> DataFrame:
 MATCH = "pick_up_m double, drop_off_m double, pick_up_s double, drop_off_s double, ride_s double, start_together boolean, end_together boolean"
 
 
-def rides(pairs: DataFrame, space_m: float, time_s: float) -> DataFrame:
-    """Candidate pairs with arrays ``a_points``, ``b_points`` -> those where a can carry b, with the match's columns."""
-    keys = [c for c in pairs.columns if c not in ("a_points", "b_points")]
-    schema = ", ".join(f"{c} {dict(pairs.dtypes)[c]}" for c in keys) + ", " + MATCH
+#: Ways that a task holds while the other trips of the day pass by.
+BLOCK = 4000
+
+
+def _carried(a: np.ndarray, ends: np.ndarray, size: np.ndarray, space_m: float, time_s: float) -> tuple[np.ndarray, tuple]:
+    """``inclusion_synch`` of one way and many trips by their (first, last) points and lengths: which are rides, and their columns."""
+    found = []
+    for p in (ends[:, :3], ends[:, 3:]):
+        n, m = len(a) - 1, len(p)
+        on = project(np.repeat(a[:-1], m, 0), np.repeat(a[1:], m, 0), np.tile(p, (n, 1))).reshape(n, m, 3)
+        d = metres(on, p)
+        d = np.where((d <= space_m / 2) & (np.abs(on[..., 2] % DAY - p[:, 2] % DAY) <= time_s), d, np.inf)
+        k = d.argmin(0)
+        found.append((k, d[k, np.arange(m)], on[k, np.arange(m)]))
+    (i, to, up), (j, back, off) = found
+    hit = np.flatnonzero(np.isfinite(to) & np.isfinite(back) & (i < j) & (metres(up, off) >= space_m) & (to + back <= size))
+    i, j = i[hit], j[hit]
+    t_on, t_off = a[i, 2] % DAY, a[j, 2] % DAY
+    columns = (to[hit], back[hit], np.abs(ends[hit, 2] % DAY - t_on), np.abs(ends[hit, 5] % DAY - t_off), np.abs(t_on - t_off), i == 0, j == len(a) - 2)
+    return hit, columns
+
+
+def _passing(ways: list[tuple], guests: pd.DataFrame, space_m: float, time_s: float) -> pd.DataFrame:
+    """The rides between held (uid, tid, way, cells, anywhere) and a batch of guests, found through the cells of both ends."""
+    ends, size, uid = np.stack(guests["way"].to_numpy()), guests["size"].to_numpy(), guests["uid"].to_numpy()
+    (c0, at0), (c1, at1) = (np.unique(cells_of(ends[:, k : k + 2], space_m / 2), return_inverse=True) for k in (0, 3))
+    b0, b1, long = ends[:, 2] % DAY, ends[:, 5] % DAY, size > space_m
+    parts = []
+    for a_uid, a_tid, a, cells, anywhere in ways:
+        a0, a1 = a[0, 2] % DAY, a[-1, 2] % DAY
+        ok = np.isin(c0, cells)
+        if not ok.any():
+            continue
+        ok = ok[at0] & long & (uid != a_uid) & (b0 - time_s <= a1) & (b0 + time_s >= a0) & (b1 + time_s >= a0) & (b1 - time_s <= a1)
+        if not anywhere:
+            ok &= np.isin(c1, cells)[at1]
+        pick = np.flatnonzero(ok)
+        if len(pick):
+            hit, columns = _carried(a, ends[pick], size[pick], space_m, time_s)
+            if len(hit):
+                parts.append((a_uid, a_tid, pick[hit], columns))
+    rows = np.concatenate([x[2] for x in parts]) if parts else np.zeros(0, np.int64)
+    times = [len(x[2]) for x in parts]
+    b = guests.iloc[rows]
+    out = {"day": b["day"], "cell": b["cell"], "a_uid": np.repeat([x[0] for x in parts], times), "a_tid": np.repeat([x[1] for x in parts], times), "b_uid": b["uid"], "b_tid": b["tid"]}
+    for k, name in enumerate(c.split()[0] for c in MATCH.split(", ")):
+        out[name] = np.concatenate([x[3][k] for x in parts]) if parts else []
+    return pd.DataFrame({k: np.asarray(v) for k, v in out.items()})
+
+
+def rides(ways: DataFrame, space_m: float, time_s: float) -> DataFrame:
+    """Trips (day, cell, uid, tid, points) -> the pairs of one day and different users where a can carry b, with b's cell and the match's columns.
+
+    Each way goes to one block of its day, and the ends of every trip to all blocks of theirs: what is
+    dealt grows with the trips (times the blocks of a day), not with pairs that have to be compared.
+    """
 
-    def run(batches):
+    def shape(batches):
         for pdf in batches:
-            found = [inclusion_synch(as_array(a), as_array(b), space_m, time_s) for a, b in zip(pdf["a_points"], pdf["b_points"], strict=True)]
-            hit = [k for k, f in enumerate(found) if f]
-            cols = [c.split()[0] for c in MATCH.split(", ")]
-            extra = pd.DataFrame([found[k] for k in hit], columns=cols)
-            yield pd.concat([pdf[keys].iloc[hit].reset_index(drop=True), extra], axis=1)
+            arrays = [as_array(p) for p in pdf["points"]]
+            out = pdf[["day", "cell", "uid", "tid"]].copy()
+            out["way"], out["size"] = [x.ravel() for x in arrays], [length_m(x) for x in arrays]
+            yield out
 
-    return pairs.mapInPandas(run, schema)
+    def run(batches):
+        last, held = None, []
+        for pdf in batches:
+            for key, own in pdf.groupby(["day", "block"], sort=False):
+                if key != last:
+                    last, held = key, []
+                for r in own[~own["guest"]].itertuples():
+                    a = r.way.reshape(-1, 3)
+                    held.append((r.uid, r.tid, a, way_cells(a, space_m / 2), bool((((a[1:, :2] - a[:-1, :2]) ** 2).sum(1) == 0).any())))
+                guests = own[own["guest"]]
+                if len(guests) and held:
+                    yield _passing(held, guests, space_m, time_s)
+
+    parts, kind = int(ways.sparkSession.conf.get("spark.sql.shuffle.partitions")), dict(ways.dtypes)["cell"]
+    trips = ways.select("day", "cell", "uid", "tid", "points").mapInPandas(shape, f"day long, cell {kind}, uid long, tid long, way array<double>, size double")
+    blocks = ways.groupBy("day").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    sent = trips.join(F.broadcast(blocks), "day").withColumn("b", F.explode(F.sequence(F.lit(-1).cast("long"), F.col("blocks") - 1)))
+    guest = F.col("b") >= 0
+    block = F.when(guest, F.col("b")).otherwise(F.pmod(F.xxhash64("uid", "tid"), "blocks"))
+    ends = F.concat(F.slice("way", 1, 3), F.slice("way", -3, 3))
+    sent = sent.select("day", "cell", "uid", "tid", F.when(guest, ends).otherwise(F.col("way")).alias("way"), "size", block.alias("block"), guest.alias("guest"))
+    dealt = sent.repartition(parts, "day", "block").sortWithinPartitions("day", "block", "guest")
+    return dealt.mapInPandas(run, f"day long, cell {kind}, a_uid long, a_tid long, b_uid long, b_tid long, " + MATCH)

@@ -414,10 +414,7 @@ def trajectory_medoid(s, d):
 def trajectory_inclusion(s, d):
     """Rides between trips of different users on the same day; ``cell`` is where the ride's guest begins."""
     w = _ways(s, d).withColumns({"day": F.floor(F.col("t0") / timeparts.DAY), "cell": geo.geohash_cell(F.col("first.lon"), F.col("first.lat"), 5)})
-    side = lambda x, *more: w.select(F.col("uid").alias(f"{x}_uid"), F.col("tid").alias(f"{x}_tid"), F.col("points").alias(f"{x}_points"), *more)
-    pairs = trajectories.ride_candidates(w, 500.0).join(side("a"), ["a_uid", "a_tid"]).join(side("b", "cell"), ["b_uid", "b_tid"])
-    pairs = pairs.select("day", "cell", "a_uid", "a_tid", "a_points", "b_uid", "b_tid", "b_points")
-    return r6(trajectories.rides(pairs, 500.0, 14400.0))
+    return r6(trajectories.rides(w, 500.0, 14400.0))
 
 
 def _risk_table(s, d):
