@@ -299,3 +299,18 @@ def test_urls_of_many_parts_and_odd_rows(spark, none):
     # Every mined verdict against the rule's own tokens.
     for r in got:
         assert r.mined is None or set(r.mined.split()) <= {f"p:{x}" for x in r.path.split("/")} | {f"h:{x}" for x in r.host.split(".")}
+
+
+def test_url_rules_of_many_tokens(spark, monkeypatch):
+    """Rules of all tokens of long URLs, with the limit for listing passed or not; the decisive pair is seldom blocked alone."""
+    rng, rows = random.Random(3), []
+    for i in range(160):
+        both = i % 4 == 0
+        some = [f"a{j}" for j in range(14) if rng.random() < 0.25]
+        rows.append((i, sorted({*some, *(["x", "y"] if both else [rng.choice("xy")])}), both))
+    frame = spark.createDataFrame(rows, "id long, tokens array<string>, blocked boolean")
+    monkeypatch.setattr(url_rules, "ITEMS", 30)
+    want = {(r.rule, round(r.confidence, 9), round(r.support, 9)) for r in url_rules.mine(frame)[0].collect()}
+    monkeypatch.setattr(url_rules, "ITEMS", 1)
+    got = {(r.rule, round(r.confidence, 9), round(r.support, 9)) for r in url_rules.mine(frame)[0].collect()}
+    assert got == want and ("x y", 1.0, 0.25) in got

@@ -9,8 +9,9 @@ which tells nothing of the URLs that it does not fit. A rule also needs ``LEAST`
 labels, and more of them than the share of blocked labels explains, by ``FAR`` standard
 deviations, as thousands of combinations are tried. Labels count by distinct URL;
 tokens that stand in the same URLs are mined as one (any of them will do in a URL that
-is judged), and of each URL the ``ITEMS`` frequent ones that are most often blocked, so that long URLs cannot blow up the number
-of combinations. The kept rules match other URLs
+is judged). Where a URL has more than ``ITEMS`` of them, FP-growth would list every combination; there they are
+built up one token at a time instead, without those that pruning would drop anyway (``grown``), for the same rules.
+The kept rules match other URLs
 through an inverted index: each rule waits under its rarest token, and only URLs with
 that token are asked for the rest.
 
@@ -24,6 +25,7 @@ empty table; further columns pass through but for those it adds.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.fpm import FPGrowth
@@ -35,7 +37,7 @@ from .common import materialize
 #: The host rules, allow and block.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 SUPPORT, CONFIDENCE, LEAST, FAR = 0.005, 0.9, 5, 4
-#: Tokens of a labelled URL that are mined: combinations grow as powers of two of them.
+#: Tokens of a labelled URL up to which FP-growth lists all combinations, which grow as powers of two of them.
 ITEMS = 12
 BLOCK = "=block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,18 +87,50 @@ def rule_tokens(rules=RULES) -> list[str]:
 
 
 def classes(flat: DataFrame, least: float) -> DataFrame:
-    """(id, blocked, t) -> (t, c, share, often): frequent tokens, and the one that stands for all that are in the same URLs."""
+    """(id, blocked, t) -> (t, c): frequent tokens, and the one that stands for all that are in the same URLs."""
     # Tokens of the same URLs have the same count and the same hash of their ids.
     stats = flat.groupBy("t").agg(F.count("*").alias("n"), F.count_if("blocked").alias("k"), F.bit_xor(F.xxhash64("id")).alias("same")).where(F.col("n") >= least)
     heads = stats.groupBy("n", "k", "same").agg(F.min("t").alias("c"))
-    return stats.join(heads, ["n", "k", "same"]).select("t", "c", (-F.col("k") / F.col("n")).alias("share"), (-F.col("n")).alias("often"))
+    return stats.join(heads, ["n", "k", "same"]).select("t", "c")
 
 
 def transactions(flat: DataFrame, members: DataFrame) -> DataFrame:
-    """(items) of each URL: its classes of tokens, the ``ITEMS`` most often blocked."""
-    chosen = flat.join(members.where("t = c"), "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("share", "often", "t"))).alias("s"), F.first("blocked").alias("blocked"))
-    items = F.transform(F.slice("s", 1, ITEMS), lambda x: x["t"])
-    return chosen.select(F.when(F.col("blocked"), F.array_append(items, F.lit(BLOCK))).otherwise(items).alias("items"))
+    """(id, blocked, items) of each URL: all its classes of tokens."""
+    return flat.join(members.where("t = c"), "t").groupBy("id").agg(F.first("blocked").alias("blocked"), F.sort_array(F.collect_list("t")).alias("items"))
+
+
+def listed(rows: DataFrame, least: int, n_rows: int, confidence: float) -> DataFrame:
+    """(tokens, confidence, support): what implies blocking, in at least ``least`` blocked rows, by FP-growth."""
+    items = rows.select(F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCK))).otherwise(F.col("items")).alias("items"))
+    # Half a row less, so that rounding leaves the least count as it is.
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n_rows, minConfidence=confidence).fit(items).associationRules
+    return found.where(F.array_contains("consequent", BLOCK)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+
+
+def grown(rows: DataFrame, least: int, n_rows: int, confidence: float) -> DataFrame:
+    """As ``listed``, but for combinations that a rule with one token less makes needless.
+
+    A combination is not built on if all rows with it are blocked, or if one token less stands in
+    the same rows: with any more tokens, one less is as sure there, and as frequent.
+    """
+    at = materialize(rows.select("id", "blocked", F.explode("items").alias("t")).select("id", "blocked", F.array("t").alias("s")))
+    found, before = None, None
+    while True:
+        sets = at.groupBy("s").agg(F.count("*").alias("n"), F.count_if("blocked").alias("k")).where(F.col("k") >= least)
+        if before is not None:
+            parts = sets.select("s", "n", "k", F.explode("s").alias("t")).select("s", "n", "k", F.filter("s", lambda x: x != F.col("t")).alias("part"))
+            own = parts.join(before.select(F.col("s").alias("part"), F.col("n").alias("m")), "part").where("n < m")
+            sets = own.groupBy("s", "n", "k").agg(F.count("*").alias("parts")).where(F.col("parts") == F.size("s")).drop("parts")
+        sets = materialize(sets)
+        found = sets if found is None else found.union(sets)
+        before = sets.where("k < n")
+        live = at.join(before.select("s"), "s", "left_semi").select("id", "blocked", F.slice("s", 1, F.size("s") - 1).alias("head"), F.element_at("s", -1).alias("t"))
+        other = live.select("id", "head", F.col("t").alias("u"))
+        at = materialize(live.join(other, ["id", "head"]).where("t < u").select("id", "blocked", F.concat("head", F.array("t", "u")).alias("s")))
+        if at.isEmpty():
+            break
+    rules = found.select(F.col("s").alias("tokens"), (F.col("k") / F.col("n")).alias("confidence"), (F.col("k") / F.lit(n_rows)).alias("support"))
+    return rules.where(F.col("confidence") >= confidence)
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
@@ -114,12 +148,13 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     flat = one.select("id", "blocked", F.explode("tokens").alias("t"))
     members = materialize(classes(flat, least))
     rows = materialize(transactions(flat, members))
-    members = members.select("t", "c")
-    n_rows = rows.count()
+    n_rows, most = rows.agg(F.count("*"), F.max(F.size("items"))).first()
     if n_rows < LEAST:
         return spark.createDataFrame([], schema), members
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n_rows), minConfidence=confidence).fit(rows).associationRules
-    found = found.where(F.array_contains("consequent", BLOCK)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    least = math.ceil(least)
+    if least > n_rows:
+        return spark.createDataFrame([], schema), members
+    found = (listed if most <= ITEMS else grown)(rows, least, n_rows, confidence)
     n = n_rows
     more, fitting = F.col("confidence") - base, F.col("support") * n / F.col("confidence")
     found = found.where((more > 0) & (more * more * fitting >= FAR**2 * base * (1 - base)))
