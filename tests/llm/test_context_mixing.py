@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -114,3 +115,22 @@ def test_bytes_have_probabilities_that_sum_to_one(scored):
     pick = np.flatnonzero(words.w >> np.uint64(8) & np.uint64(255) == ord("n"))
     p = np.exp(tails.log_p(*words.inputs(t, pick, False)))
     assert len(pick) == 256 and p.sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_exact_columns_where_words_begin_alike(spark):
+    """Longer words, also with control characters, lie between a word before a blank and the same word at an end."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    run = " ".join(f"natio{i:03}{'x' * 900}" for i in range(1000))  # more than a chunk holds
+    mine = ["the natio", "NATION national nationally", "nation", "national", "abcde\x01 abcde\tabcde\x0e abcde\x1f\nabcde abcdef", run, "abcdé\r", None]
+    other = ["natio x", "nationally\nnatio national", "abcde\x01\x0babcde\x0cABCDE", ""]
+    rows = [*zip((i for i in range(100) if not held(i)), mine), *zip((i for i in range(100) if held(i)), other)]
+    tokens = {i: [*(t or "").encode().lower().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)).split(b" "), None] for i, t in rows}
+    tokens = {i: [x for x in t if x != b""] for i, t in tokens.items()}
+    count = Counter(x for i, t in tokens.items() if not held(i) for x in t)
+    n, v = sum(count.values()), len(count)
+    got = {r.doc_id: r for r in cm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got.keys() == tokens.keys()
+    for i, t in tokens.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(t), sum(x in count for x in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t), rel=1e-12)

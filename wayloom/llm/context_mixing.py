@@ -14,7 +14,7 @@ ones found there.
 2. *Words.* Later bytes of a word, and the byte after it, also depend on the whole word
    so far. Their counts are exact, grow with the corpus and are never sent around:
    distinct words (with the byte after them) meet by their first five bytes, sorted into
-   chunks, and each gets the log probability of its later bytes once.
+   chunks that keep a word whole, and each gets the log probability of its later bytes once.
 3. Weights are trained online, in small batches of places in random order, each predicted
    as if it had not been counted; shards and chunks start from common weights and are
    averaged by what they saw. The last of ``PASSES`` also fills the map, with what was
@@ -558,7 +558,7 @@ def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted units -> chunks, cut where the first bytes change; longer runs of units with the same ones are cut between words."""
+    """Units sorted by word -> chunks, cut where the first bytes change; longer runs of units with the same ones are cut between words."""
     units: list[bytes] = []
     counts: list[int] = []
     size = 0
@@ -623,7 +623,10 @@ def score(docs: DataFrame) -> DataFrame:
     counted = d.select("held_out", "text").mapInArrow(_count_units, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = F.substring("unit", 1, BACK)
-    chunks = materialize(counted.repartition(parts, first).sortWithinPartitions("unit").mapInArrow(_pack, "data binary, sizes binary, n binary"))
+    # In the order of units alone, longer words can stand between a word before a blank and the same word before an end.
+    word = F.when(F.length("unit") > BACK, F.expr("substring(unit, 1, length(unit) - 1)")).otherwise(F.col("unit"))
+    dealt = counted.repartition(parts, first).withColumn("word", word).sortWithinPartitions("word", "unit").select("unit", "n")
+    chunks = materialize(dealt.mapInArrow(_pack, "data binary, sizes binary, n binary"))
     n_train = chunks.mapInArrow(_total, "n long").agg(F.sum("n")).first()[0] or 0
     model = train(d.where("not held_out").select("text"), chunks, n_train)
     words = materialize(chunks.mapInArrow(_score_words(model), "unit binary, n long, c long, tail double, lead boolean"))
